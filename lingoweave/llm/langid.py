@@ -34,6 +34,15 @@ NAMES = {
     "ko": "ko kor kr korean 한국어",
     "zh": "zh zho chi cmn cn chinese mandarin 中文 汉语 漢語",
 }
+#: Function words, so that a language is known beyond the topics of the sample.
+COMMON = {
+    "en": "the of and to in is that it for was on are as with his they at be this have from or had by not but what all were when we there can an your which their said if will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know this text content request sorry unable cannot please provide unfortunately given any other different help translation passage assistant language",
+    "de": "der die das und ist nicht ein eine einen dem den des zu mit auf für von im sich als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über so zum war haben nur oder aber vor zur bis mehr durch man sein wurde wenn ich du wir ihr mein dein kann können leider diesen text keine inhalte darf",
+    "fr": "le la les de des un une et est que qui dans en pour pas au sur se ce il elle ne plus par avec son sa ses mais nous vous je tu ou si leur y cette ces été être avoir fait comme tout bien aux où même peut sont ont désolé contenu demande impossible texte",
+    "es": "el la los las de un una y es que en no se por con para su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante uno les ni contra otros ese eso ante ellos puedo contenido solicitud siento texto",
+    "pt": "o a os as de um uma e é que em não se por com para seu sua ao do da dos das no na como mais mas ou já este esta isso quando muito sem sobre também me até há onde quem desde tudo nos pelo pela você eu ele ela são foi ser ter posso conteúdo pedido desculpe texto",
+    "vi": "và của là không có cho được trong một người những với các này đã khi để đến từ tôi bạn anh chị ông bà nó họ chúng ta thì mà ở ra vào lên xuống rồi cũng như nhưng nếu vì sẽ đang rất nhiều hơn nhất lại còn chỉ nào gì ai đâu sao nội dung yêu cầu xin lỗi dịch thể",
+}
 _SPELLING = {w: code for code, words in NAMES.items() for w in words.split()}
 
 CODES = re.compile(r"\\[A-Za-z]+(?:\[[^\]\n]*\])?|\\[^A-Za-z\s]|%\d+|<[^<>\n]{0,80}>|\{[^{}\n]{0,80}\}")
@@ -106,6 +115,10 @@ class LanguageModel:
             if not ("\u3041" <= w[0] <= "\u30ff" or "\uac00" <= w[0] <= "\ud7af"):
                 for g in self._grams(w):
                     counts[g] += np.sqrt(n)  # damped, so that frequent words do not rule the n-grams
+        for code, text in COMMON.items():
+            for w in text.split():
+                for g in self._grams(w):
+                    counts[g][LANGUAGES.index(code)] += 3
         total = sum(counts.values(), np.zeros(len(LANGUAGES))) + 1
         mean = total[LATIN].mean()
         self.grams = {g: np.log((n + 0.3) / (total + 0.3 * mean)) for g, n in counts.items()}
@@ -128,7 +141,10 @@ class LanguageModel:
                 for g in self._grams(w):
                     s = s + (self.grams.get(g, self.unseen) - self.unseen.mean())
                 s = 0.5 * s[some]
-                got[some] = np.maximum(s - s.max(), self.FLOOR)
+                # a run of Han signs is many words
+                least = self.FLOOR * max(1, len(w) / 2) if c > "\u2fff" else self.FLOOR
+                got[:] = least
+                got[some] = np.maximum(s - s.max(), least)
             if len(self.cache) < 400_000:
                 self.cache[w] = got
         return got
