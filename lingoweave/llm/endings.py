@@ -47,12 +47,14 @@ class EndModel:
         self.inside: Counter = Counter()
         self.words: Counter = Counter()
         self.prefixes: Counter = Counter()
+        self.after: dict[tuple[str, ...], Counter] = {}
         for unit in units:
             t = _TOKEN.findall(unit.lower())
             for w in t:
                 self.words[w] += 1
             t = ["^", *t]  # a unit may be a single word that is otherwise found inside
             for i in range(1, len(t)):
+                self.after.setdefault(tuple(t[max(0, i - 2):i]), Counter())[t[i]] += 1
                 into = self.end if i == len(t) - 1 else self.inside
                 for n in self.ORDERS:
                     if i + 1 >= n:
@@ -76,6 +78,10 @@ class EndModel:
             if e + i >= 2:
                 out = float(np.log((e + 0.3) / (i + 0.3)))
         last = t[-1]
+        # a word that never stands here, where longer ones do that begin like it
+        known = self.after.get(tuple(tail(text, 3)[-3:-1]) if len(t) > 2 and t[-3] != "^" else ("^", *tail(text, 2)[:-1]) if t[0] == "^" else ())
+        if known and last != "#" and not known[last] and sum(n for w, n in known.items() if w.startswith(last)) >= 3:
+            out = min(out, -4.0)
         if last != "#" and self.words[last] < 3 and self.prefixes[last] >= 5:
             out -= 2.0 + 0.5 * float(np.log(self.prefixes[last] / (self.words[last] + 0.5)))
         return float(np.clip(out, -8, 8))
