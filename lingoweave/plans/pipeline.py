@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import box_name, corrected, mask, postprocess, repair_syntax, replace_box_name, text, unmask
+from ..functions.text import blank, box_name, corrected, mask, postprocess, repair_syntax, replace_box_name, text, unmask
 from ..operators.batching import char_batches
 from ..operators.results import dedupe_last, effective_memory, fan_out, lookup_memory, pending, representatives, wanted
 from ..runtime import store
@@ -51,7 +51,7 @@ def run(entries: DataFrame, options: Options, results: DataFrame | None = None,
     todo, parts = e, []
     if results is not None and not options.restart:
         old = dedupe_last(wanted(results, e).select("file", "key", "target", "ord"))
-        done = e.join(old.where(text(F.col("target")).rlike(r"\S")).select("file", "key", "target"), ["file", "key"])
+        done = e.join(old.where(~blank(F.col("target"))).select("file", "key", "target"), ["file", "key"])
         parts.append(done.withColumn("origin", F.lit("done")).select(keep))
         todo = pending(e, old)
     if memory is not None:
