@@ -202,7 +202,7 @@ def repair_latin1(c: Column) -> Column:
 
 def repair_escapes(c: Column) -> Column:
     """Backslashes that start no JSON escape doubled."""
-    return F.regexp_replace(text(c), r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")
+    return F.regexp_replace(text(c), r'\\(?!["\\/bfnrtu])', r"\\\\")
 
 
 def strip_fence(c: Column) -> Column:

@@ -59,4 +59,4 @@ def auto_batch_size(entries: DataFrame, target_tokens: int = 8000) -> DataFrame:
     first = entries.orderBy("ord").limit(20).select(entry_chars().alias("c"))
     mean = F.avg("c") / 3.5
     size = F.least(F.greatest(F.floor(F.lit(float(target_tokens)) / F.greatest(mean, F.lit(1.0))).cast("bigint"), F.lit(1).cast("bigint")), F.lit(60).cast("bigint"))
-    return first.agg(F.coalesce(size, F.lit(30).cast("bigint")).alias("batch_size"))
+    return first.agg(F.when(F.count(F.lit(1)) == 0, F.lit(30).cast("bigint")).otherwise(size).alias("batch_size"))
