@@ -42,6 +42,8 @@ COMMON = {
     "es": "el la los las de un una y es que en no se por con para su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante uno les ni contra otros ese eso ante ellos puedo contenido solicitud siento texto",
     "pt": "o a os as de um uma e é que em não se por com para seu sua ao do da dos das no na como mais mas ou já este esta isso quando muito sem sobre também me até há onde quem desde tudo nos pelo pela você eu ele ela são foi ser ter posso conteúdo pedido desculpe texto",
     "vi": "và của là không có cho được trong một người những với các này đã khi để đến từ tôi bạn anh chị ông bà nó họ chúng ta thì mà ở ra vào lên xuống rồi cũng như nhưng nếu vì sẽ đang rất nhiều hơn nhất lại còn chỉ nào gì ai đâu sao nội dung yêu cầu xin lỗi dịch thể",
+    "zh": "的 了 是 不 我 在 有 他 这 个 们 来 说 你 就 也 都 那 要 会 对 没 去 能 和 到 着 把 让 吗 呢 吧 什么 怎么 知道 没有 自己 可以 我们 他们 这里 那里 因为 所以 但是 如果 还是 已经 时候",
+    "ja": "今日 本当 残念 時間 場所 言 気 見 行 思 者 何 私 君 彼 誰 前 後 中 上 下 年 日 時 人 力 村 扉 森 王 女 男",
 }
 _SPELLING = {w: code for code, words in NAMES.items() for w in words.split()}
 
