@@ -31,6 +31,14 @@ def ends_full(text: str) -> bool:
     return k > 0 and t[k - 1] in FULL and not t[:k].endswith("..")
 
 
+_CLOSED = re.compile(r"[^\s.][.!?。！？](?![.])[\s\W\d½¼¾_]*$")
+
+
+def closed(text: str) -> bool:
+    """As ``ends_full``, but marks, numbers and dots may follow the full stop (``Ja. 20°``, ``はい。……``)."""
+    return bool(_CLOSED.search(bare(text)[-60:]))
+
+
 def tail(text: str, most: int = 4) -> list[str]:
     """The last tokens in lower case, without marks: words, single Han or kana signs, numbers."""
     return _TOKEN.findall(text[-80:].lower())[-most:]
