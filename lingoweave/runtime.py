@@ -45,3 +45,25 @@ def store(df: DataFrame, label: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once per application: they needn't have it installed.
+
+    The archive is served by the driver.
+    """
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(ship, "_done", None) == context.applicationId:
+        return
+    root = Path(__file__).resolve().parent
+    where = tempfile.mkdtemp(prefix="lingoweave-ship-")
+    atexit.register(shutil.rmtree, where, True)
+    archive = f"{where}/lingoweave.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"lingoweave/{p.relative_to(root)}")
+    context.addPyFile(archive)
+    ship._done = context.applicationId
