@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_text, is_ui_text, looks_translatable, strip, text
 from ..operators.nested import _STRING, Index, _pieces
+from ..runtime import store
 
 # Text fields of the database files, arrays and terms of the system file, keys that never hold text.
 DATABASE_FIELDS = {
@@ -131,29 +132,6 @@ def _entry(key: Column, source: Column, context: Column | str, sub_keys: Column
             (sub_keys if sub_keys is not None else F.array().cast("array<string>")).alias("sub_keys")]
 
 
-def database_entries(nodes: DataFrame, stem: Column, ids: list[str]) -> DataFrame:
-    """Texts of the database files: the fields named for each file, of the elements of the root array or of the root object."""
-    table = F.create_map(*[F.lit(x) for f, names in DATABASE_FIELDS.items() for x in (f, names)])
-    fields = F.split(text(F.try_element_at(table, stem)), " ")
-    hit = F.array_contains(fields, F.col("name")) & F.col("parent_path").rlike(r"^\$(\[\d+\])?$") & is_text(F.col("value"))
-    context = F.concat(F.lit("rpg_maker_"), F.lower(stem), F.lit("_"), F.col("name"))
-    return nodes.where(hit).select(*ids, *_entry(F.col("path"), F.col("value"), context))
-
-
-def system_entries(nodes: DataFrame, ids: list[str]) -> DataFrame:
-    """Titles, type arrays and terms of the system file; the context of terms grows with their key."""
-    n = nodes.where(is_text(F.col("value")))
-    title = n.where((F.col("parent_path") == "$") & F.col("name").isin(SYSTEM_TEXTS)).select(*ids, *_entry(F.col("path"), F.col("value"), F.concat(F.lit("rpg_maker_system_"), F.col("name"))))
-    arrays = n.where((F.col("name") == "") & (F.size("keys") == 1) & F.col("holder").isin(SYSTEM_ARRAYS) & (F.col("depth") == 2)).select(*ids, *_entry(F.col("path"), F.col("value"), F.concat(F.lit("rpg_maker_system_"), F.col("holder"))))
-    terms = n.where((F.element_at("keys", 1) == "terms") & F.get("keys", F.lit(1)).isin(TERM_GROUPS)).select(*ids, *_entry(F.col("path"), F.col("value"), F.concat(F.lit("rpg_maker_"), F.array_join("keys", "_"))))
-    return title.unionByName(arrays).unionByName(terms)
-
-
-def named_entries(nodes: DataFrame, context: str, ids: list[str]) -> DataFrame:
-    """Names of the elements of the root array: maps' names, troops' names."""
-    return nodes.where((F.col("name") == "name") & F.col("parent_path").rlike(r"^\$\[\d+\]$") & is_text(F.col("value"))).select(*ids, *_entry(F.col("path"), F.col("value"), context))
-
-
 def generic_entries(nodes: DataFrame, stem: Column, ids: list[str], skip: list[str] | None = None) -> DataFrame:
     """Every text that could be read in an interface, but below keys that never hold text."""
     skip = NON_TEXT_KEYS if skip is None else skip
@@ -207,18 +185,24 @@ def dialogue_entries(cmds: DataFrame, ids: list[str]) -> DataFrame:
     blocks = grouped.groupBy(*ids, "list_path", "island", "opener").agg(rows.alias("r"))
     context = F.when(F.col("opener") == "start", "rpg_maker_event_text").when(F.col("opener") == "comment", "rpg_maker_comment").otherwise("rpg_maker_script")
     out = blocks.select(*ids, *_entry(F.col("r")[0]["k"], F.array_join(F.transform("r", lambda x: x.txt), "\n"), context, F.when(F.size("r") > 1, F.transform("r", lambda x: x.k)).otherwise(F.array().cast("array<string>"))))
-    single = c.where(F.col("line_ok") & (F.col("opener") != "start")).select(*ids, *_entry(key, F.col("txt"), "rpg_maker_event_text"))
-    out = out.unionByName(single)
-    speaker = c.where((F.col("kind") == "start") & (F.col("params") >= 5) & is_text(F.col("p4")))
-    out = out.unionByName(speaker.select(*ids, *_entry(F.concat(at, F.lit(".parameters[4]")), F.col("p4"), "rpg_maker_speaker_name")))
-    out = out.unionByName(c.where((F.col("code") == 356) & F.col("txt").isNotNull()).select(*ids, *_entry(key, F.col("txt"), "rpg_maker_plugin_command")))
-    each = c.where("code = 357").select(*ids, at.alias("at"), F.posexplode("strings").alias("i", "v")).where(is_text(F.col("v")))
-    out = out.unionByName(each.select(*ids, *_entry(F.concat(F.col("at"), F.lit(".parameters["), F.col("i").cast("string"), F.lit("]")), F.col("v"), "rpg_maker_plugin_command")))
-    each = c.where("code = 102").select(*ids, at.alias("at"), F.posexplode("choices").alias("i", "v")).where(is_text(F.col("v")))
-    out = out.unionByName(each.select(*ids, *_entry(F.concat(F.col("at"), F.lit(".parameters[0]["), F.col("i").cast("string"), F.lit("]")), F.col("v"), "rpg_maker_choice")))
+    # everything that comes from one command by itself
+    def one(test: Column, k: Column, v: Column, ctx: Column | str) -> Column:
+        return F.when(test, F.struct(k.alias("k"), v.alias("v"), (F.lit(ctx) if isinstance(ctx, str) else ctx).alias("c")))
+
+    def many(test: Column, values: Column, place: str, ctx: str) -> Column:
+        found = F.transform(values, lambda v, i: one(is_text(v), F.concat(at, F.lit(place), i.cast("string"), F.lit("]")), v, ctx))
+        return F.when(test & values.isNotNull(), found)
+
     changes = F.when(F.col("code") == 320, "rpg_maker_actors_name").when(F.col("code") == 324, "rpg_maker_actors_nickname").otherwise("rpg_maker_actors_profile")
-    out = out.unionByName(c.where(F.col("code").isin(320, 324, 325) & is_text(F.col("p1"))).select(*ids, *_entry(F.concat(at, F.lit(".parameters[1]")), F.col("p1"), changes)))
-    return out
+    singles = F.array(
+        one(F.col("line_ok") & (F.col("opener") != "start"), key, F.col("txt"), "rpg_maker_event_text"),
+        one((F.col("kind") == "start") & (F.col("params") >= 5) & is_text(F.col("p4")), F.concat(at, F.lit(".parameters[4]")), F.col("p4"), "rpg_maker_speaker_name"),
+        one((F.col("code") == 356) & F.col("txt").isNotNull(), key, F.col("txt"), "rpg_maker_plugin_command"),
+        one(F.col("code").isin(320, 324, 325) & is_text(F.col("p1")), F.concat(at, F.lit(".parameters[1]")), F.col("p1"), changes))
+    lists = F.coalesce(many(F.col("code") == 357, F.col("strings"), ".parameters[", "rpg_maker_plugin_command"), many(F.col("code") == 102, F.col("choices"), ".parameters[0][", "rpg_maker_choice"))
+    every = F.filter(F.when(lists.isNull(), singles).otherwise(F.concat(singles, lists)), lambda x: x.isNotNull())
+    rowwise = c.select(*ids, F.explode(every).alias("x"))
+    return out.unionByName(rowwise.select(*ids, *_entry(F.col("x.k"), F.col("x.v"), F.col("x.c"))))
 
 
 def plugin_argument_entries(cmds: DataFrame, ids: list[str], skip: list[str] | None = None) -> DataFrame:
@@ -254,19 +238,26 @@ def extract(files: DataFrame, file: str = "file", body: str = "body") -> DataFra
     """(file, key, source, context, sub_keys, context_text) of all texts of JSON files, by the rule of each file's name. Unreadable files give nothing; see ``warnings``."""
     ids = [file]
     stem = F.regexp_extract(F.col(file), r"([^/\\]*?)(?:\d*)\.json$", 1)
-    nodes = text_nodes(files, ids, body).withColumn("_stem", stem)
-    is_db, is_event = F.col("_stem").isin(list(DATABASE_FIELDS)), F.col("_stem").isin("Map", "CommonEvents", "Troops")
     folder = F.regexp_extract(F.col(file), r"([^/\\]+)[/\\][^/\\]+$", 1)
-    out = database_entries(nodes.where(is_db), F.col("_stem"), ids)
-    out = out.unionByName(system_entries(nodes.where("_stem = 'System'"), ids))
-    out = out.unionByName(named_entries(nodes.where("_stem = 'MapInfos'"), "rpg_maker_map_name", ids)).unionByName(named_entries(nodes.where("_stem = 'Troops'"), "rpg_maker_troops_name", ids))
-    shown = nodes.where(is_event & (F.col("name") == "displayName") & is_text(F.col("value"))).select(*ids, *_entry(F.col("path"), F.col("value"), "rpg_maker_map_display_name"))
-    named = nodes.where(is_event & (F.col("name") == "name") & F.col("parent_path").rlike(r"\.events\[\d+\]$") & is_text(F.col("value"))).select(*ids, *_entry(F.col("path"), F.col("value"), "rpg_maker_event_name"))
-    noted = nodes.where(is_event & (F.col("name") == "note") & (F.col("parent_path").rlike(r"\.events\[\d+\]$") | (F.col("parent_path") == "$")) & is_text(F.col("value"))).select(*ids, *_entry(F.col("path"), F.col("value"), "rpg_maker_note"))
-    others = nodes.where(~is_db & ~is_event & ~F.col("_stem").isin("System", "MapInfos"))
-    out = out.unionByName(shown).unionByName(named).unionByName(noted).unionByName(interface_entries(others, folder, ids))
-    out = out.withColumn("context_text", F.lit(""))
-    cmds = commands(files.where(stem.isin("Map", "CommonEvents", "Troops")), ids, body)
+    # one pass over the nodes: the first rule that holds names the context
+    n = text_nodes(files, ids, body).withColumn("_stem", stem)
+    up, name, value, s = F.col("parent_path"), F.col("name"), F.col("value"), F.col("_stem")
+    fields = F.split(text(F.try_element_at(F.create_map(*[F.lit(x) for f, names in DATABASE_FIELDS.items() for x in (f, names)]), s)), " ")
+    element, event = up.rlike(r"^\$\[\d+\]$"), up.rlike(r"\.events\[\d+\]$")
+    prefix = F.lit("rpg_maker_")
+    is_event = s.isin("Map", "CommonEvents", "Troops")
+    shown = is_text(value)
+    context = (
+        F.when(s.isin(list(DATABASE_FIELDS)), F.when(shown & F.array_contains(fields, name) & (element | (up == "$")), F.concat(prefix, F.lower(s), F.lit("_"), name)))
+        .when(s == "System", F.when(shown & (up == "$") & name.isin(SYSTEM_TEXTS), F.concat(prefix, F.lit("system_"), name))
+              .when(shown & (name == "") & (F.size("keys") == 1) & F.col("holder").isin(SYSTEM_ARRAYS) & (F.col("depth") == 2), F.concat(prefix, F.lit("system_"), F.col("holder")))
+              .when(shown & (F.get("keys", F.lit(0)) == "terms") & F.get("keys", F.lit(1)).isin(TERM_GROUPS), F.concat(prefix, F.array_join("keys", "_"))))
+        .when(s == "MapInfos", F.when(shown & (name == "name") & element, "rpg_maker_map_name"))
+        .when(is_event, F.when(shown & (name == "displayName"), "rpg_maker_map_display_name").when(shown & (name == "name") & event, "rpg_maker_event_name")
+              .when(shown & (name == "note") & (event | (up == "$")), "rpg_maker_note").when(shown & (s == "Troops") & (name == "name") & element, "rpg_maker_troops_name"))
+        .when((name.isin(UI_KEYS) | (name == "")) & is_ui_text(value), F.concat(F.lit("rpg_maker_plugin_ui_"), folder)))
+    out = n.withColumn("_c", context).where("_c is not null").select(*ids, *_entry(F.col("path"), value, F.col("_c"))).withColumn("context_text", F.lit(""))
+    cmds = store(commands(files.where(stem.isin("Map", "CommonEvents", "Troops")), ids, body), "commands")
     events = dialogue_entries(cmds, ids)
     contexts = list_contexts(cmds, ids)
     events = events.withColumn("list_path", F.regexp_extract("key", r"^(.*\.list)\[\d+\]\.parameters", 1)).join(contexts, [*ids, "list_path"], "left")
