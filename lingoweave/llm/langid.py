@@ -12,7 +12,7 @@ import unicodedata
 from collections import defaultdict
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LANGUAGES = ["en", "de", "fr", "es", "pt", "vi", "ja", "ko", "zh"]
@@ -228,9 +228,7 @@ def train_language_model(results: DataFrame, sample_rows: int = 24_000) -> Langu
              .unionByName(results.select(F.col("source").alias("t"), F.lower("source_lang").alias("l")))
              .where(F.col("l").isin(LANGUAGES) & (F.length("t") > 0)))
     each = sample_rows // len(LANGUAGES)
-    # a top-k for each language, kept while aggregating: no language is ever gathered in one task
-    rows = None
-    for code in LANGUAGES:
-        part = texts.where(F.col("l") == code).groupBy("t", "l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.xxhash64(F.lit("language"), "t")).limit(each).select("t", "l")
-        rows = part if rows is None else rows.unionByName(part)
-    return LanguageModel([(r.t, r.l) for r in rows.collect()])
+    # the limit on the rank is applied before the shuffle too, so that no language is ever gathered in one task
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64(F.lit("language"), "t"), "t"))
+    rows = texts.groupBy("t", "l").agg(F.count(F.lit(1)).alias("n")).withColumn("k", rank).where(F.col("k") <= each)
+    return LanguageModel(sorted((r.t, r.l) for r in rows.select("t", "l").collect()))
