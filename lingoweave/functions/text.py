@@ -80,6 +80,27 @@ def source_language(c: Column) -> Column:
     return F.when(text(c).rlike(r"[\x{3040}-\x{30ff}]"), "ja").when(text(c).rlike(r"[\x{ac00}-\x{d7af}]"), "ko").when(text(c).rlike(r"[\x{4e00}-\x{9fff}]"), "zh")
 
 
+def shortened(c: Column, most: int) -> Column:
+    """At most ``most`` signs, the last of them an ellipsis where something was cut."""
+    return F.when(F.length(text(c)) <= most, text(c)).otherwise(F.concat(F.substring(text(c), 1, most - 1), F.lit("…")))
+
+
+#: letters that of the languages at hand only Vietnamese has, or shares with few
+VIETNAMESE = "đĐưƯơƠêÊôÔăĂâÂàÀáÁảẢãÃạẠèÈéÉẻẺẽẼẹẸìÌíÍỉỈĩĨịỊòÒóÓỏỎõÕọỌùÙúÚủỦũŨụỤýÝỷỶỹỸỵỴ"
+
+
+def has_vietnamese(c: Column) -> Column:
+    return text(c).rlike(f"[{VIETNAMESE}]")
+
+
+def log_source(message: Column) -> Column:
+    """Which part of the program a log line comes from, by how it begins."""
+    m = text(message)
+    third = F.get(F.split(m, " "), F.lit(2))
+    return (F.when(m.startswith("Quality warning"), F.coalesce(third, F.lit("validate"))).when(m.rlike("^(Batch failed|Pre-dedup:|Translated )"), "pipeline").when(m.startswith("Saved "), "memory")
+            .when(m.rlike("^(Retrying|retry_after)"), "llm").when(m.startswith("Error"), "error").when(m.rlike("^(Starting|Finished|Stopped) "), "worker").otherwise("app"))
+
+
 # --- protected tokens -------------------------------------------------------------------------------------------------
 
 def _all(c: Column, pattern: str) -> Column:

@@ -579,6 +579,24 @@ def language_codes(spark: SparkSession, d: str) -> DataFrame:
     return m.select("event_id", C.language_code(F.col("name")).alias("code"), C.folder_language(F.col("name")).alias("folder"))
 
 
+LOG = ["Batch failed: x", "Quality warning key.1 bad", "Quality warning", "Saved 3", "Pre-dedup: 4", "Translated 5", "Retrying", "retry_after 3", "Error: x", "Starting up", "Stopped by user", "hello"]
+
+
+@query(f"""with m as (select event_id, ([{quote_list(LOG)}])[event_id % {len(LOG)} + 1] as m from events)
+select event_id, case when starts_with(m, 'Quality warning') then coalesce(string_split(m, ' ')[3], 'validate') when regexp_matches(m, '^(Batch failed|Pre-dedup:|Translated )') then 'pipeline' when starts_with(m, 'Saved ') then 'memory'
+when regexp_matches(m, '^(Retrying|retry_after)') then 'llm' when starts_with(m, 'Error') then 'error' when regexp_matches(m, '^(Starting|Finished|Stopped) ') then 'worker' else 'app' end as source from m""")
+def log_sources(spark: SparkSession, d: str) -> DataFrame:
+    m = F.get(F.array(*[F.lit(x) for x in LOG]), (F.col("event_id") % len(LOG)).cast("int"))
+    return table(spark, d, "events").select("event_id", X.log_source(m).alias("source"))
+
+
+@query(f"""with {RESULTS} select ord, case when length(target) <= 40 then target else concat(substr(target, 1, 39), '…') end as preview, regexp_matches(target, '[{X.VIETNAMESE}]') as vietnamese,
+case when contains(file, '/data/') then regexp_extract(file, '.*/data/(.*)$', 1) else regexp_extract(file, '([^/]*)$', 1) end as output from r""")
+def previews(spark: SparkSession, d: str) -> DataFrame:
+    """A short form of every target, whether it looks Vietnamese, and where its file would be written."""
+    return lens.results(spark, d).select("ord", X.shortened(F.col("target"), 40).alias("preview"), X.has_vietnamese(F.col("target")).alias("vietnamese"), games.output_path(F.col("file")).alias("output"))
+
+
 # --- scans ------------------------------------------------------------------------------------------------------------
 
 @query(f"with {ENTRIES} select context, count(*) as entries from e group by 1")

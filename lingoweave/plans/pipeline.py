@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank, box_name, corrected, mask, postprocess, repair_syntax, replace_box_name, text, unmask
 from ..operators.batching import char_batches
+from ..operators.glossary import namebox_names
 from ..operators.results import dedupe_last, effective_memory, fan_out, lookup_memory, pending, representatives, wanted
 from ..runtime import store
 from .provider import translate_batches
@@ -40,6 +41,20 @@ def finish(rows: DataFrame, corrections: list[tuple[str, str]], names: DataFrame
     return out.withColumn("target", repair_syntax(F.col("source"), F.col("target")))
 
 
+def translate_names(entries: DataFrame, options: Options, known: DataFrame | None = None) -> DataFrame:
+    """(original, translation) of the names in boxes: each is asked for once, before anything else; names that are ``known`` (original, translation) are not asked for again.
+
+    A name that the provider leaves as it is wasn't translated and is left out.
+    """
+    names = namebox_names(entries).select(F.col("name").alias("masked"))
+    if known is not None:
+        names = names.join(known.select(F.col("original").alias("masked")), "masked", "left_anti")
+    numbered = names.withColumn("batch_no", F.pmod(F.xxhash64("masked"), F.lit(1 << 20)))
+    made = store(translate_batches(numbered, options.provider, options.target_lang, options.source_lang, ["batch_no"], options.wait), "names")
+    made = made.where(~blank(F.col("answer")) & (F.col("answer") != F.col("masked"))).select(F.col("masked").alias("original"), F.trim("answer").alias("translation"))
+    return made if known is None else made.unionByName(known.select("original", "translation"))
+
+
 def run(entries: DataFrame, options: Options, results: DataFrame | None = None, memory: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
     """(file, key, source, target, context, sub_keys, origin) of every entry: ``done`` before, from ``memory``, or ``provider``.
 
@@ -64,6 +79,11 @@ def run(entries: DataFrame, options: Options, results: DataFrame | None = None,
     masked = first.join(numbered.select("ord", "block", "batch_no"), "ord").withColumn("_m", mask(F.col("source")))
     asked = masked.select("file", "block", "batch_no", "source", "category", F.col("_m.masked").alias("masked"), F.col("_m.tokens").alias("tokens"))
     answers = store(translate_batches(asked, options.provider, options.target_lang, options.source_lang, wait=options.wait), "answers")
+    # what failed is tried once more, each text by itself
+    failed = answers.where("answer is null").drop("answer")
+    if failed.limit(1).count():
+        again = store(translate_batches(failed, options.provider, options.target_lang, options.source_lang, ["file", "block", "batch_no", "source", "category"], options.wait), "again")
+        answers = answers.where("answer is not null").unionByName(again)
     made = fan_out(todo, finish(answers, options.corrections, names)).withColumn("origin", F.lit("provider")).select(keep)
     for p in parts:
         made = made.unionByName(p)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
@@ -118,17 +119,49 @@ def payload(entries: DataFrame, by: list[str]) -> DataFrame:
     return entries.groupBy(*by).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("ord", item.alias("item")))), lambda x: x.item)).alias("payload"))
 
 
-def parse_answers(raw: str) -> tuple[list[dict], int]:
-    """Items of an answer (objects with an id or key and a target) and the number of others; raises where the answer is no JSON array."""
+def _loads(raw: str) -> object:
+    """JSON of an answer: without a code fence, and with lone backslashes doubled where it can't be read otherwise."""
     body = raw.strip()
     if body.startswith("```"):
         body = body.removeprefix("```").removeprefix("json").rsplit("```", 1)[0].strip()
     try:
-        found = json.loads(body)
+        return json.loads(body)
     except ValueError:
-        import re
+        return json.loads(re.sub(r'\\(?!["\\/bfnrtu])', r"\\\\", body))
+
 
-        found = json.loads(re.sub(r'\\(?!["\\/bfnrtu])', r"\\\\", body))
+def parse_names(raw: str, asked: set[str]) -> dict[str, str]:
+    """Names and translations of an answer, an object or an array of pairs; {} where it can't be read.
+
+    Only names that were asked for count. One that stays as it is counts unless it has signs of Chinese, Japanese or Korean: then it wasn't translated.
+    """
+    try:
+        found = _loads(raw)
+    except ValueError:
+        return {}
+    if isinstance(found, dict):
+        pairs = list(found.items())
+    else:
+        items = [x for x in found if isinstance(x, dict)] if isinstance(found, list) else []
+        pairs = [(x.get("original") or x.get("source") or x.get("name"), x.get("translation") or x.get("target")) for x in items]
+    good = {}
+    for name, into in pairs:
+        if isinstance(name, str) and isinstance(into, str) and name in asked and into.strip():
+            same = into.strip() == name
+            if not (same and re.search("[㐀-䶿一-鿿぀-ヿ가-힣]", name)):
+                good[name] = into.strip()
+    return good
+
+
+def parse_segments(found: object) -> str:
+    """Text of an answer that comes as a list of lists of segments, the text first in each."""
+    head = found[0] if isinstance(found, list) and found else None
+    return "".join(p[0] for p in head if isinstance(p, list) and p and isinstance(p[0], str)) if isinstance(head, list) else ""
+
+
+def parse_answers(raw: str) -> tuple[list[dict], int]:
+    """Items of an answer (objects with an id or key and a target) and the number of others; raises where the answer is no JSON array."""
+    found = _loads(raw)
     if not isinstance(found, list):
         raise ValueError("the answer is no array")
     good = [x for x in found if isinstance(x, dict) and (x.get("id") or x.get("key")) and x.get("target") is not None]

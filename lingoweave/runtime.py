@@ -40,11 +40,24 @@ def store(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lingoweave/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _stored:
+        atexit.register(_drop, spark)
+    _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+_stored: list[str] = []
+
+
+def _drop(spark: SparkSession) -> None:
+    """Remove the stored tables when the program ends, if the application still runs then."""
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for p in _stored:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+    except Exception:  # noqa: BLE001 - the application has ended before
+        pass
 
 
 def ship(spark: SparkSession) -> None:

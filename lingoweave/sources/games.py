@@ -94,22 +94,45 @@ def _set(root: object, steps: list[str | int], value: str) -> bool:
     return False
 
 
-def _indent(body: str) -> int | str | None:
-    """Indent of the second to fourth line: a tab counts 4, four blanks and more 4, any other line 2; None for one line."""
-    rows = body.split("\n")[1:4]
-    if not rows:
-        return None
-    for row in rows:
-        if row.startswith("\t") or row.startswith("    "):
-            return 4
-    return 2
+def _indent(body: str) -> int | None:
+    """Indent by the second to fourth line: 4 for a tab or four blanks and more, 2 for fewer, None where none of them is indented."""
+    for row in body.split("\n")[1:4]:
+        blanks = len(row) - len(row.lstrip())
+        if row.strip() and blanks:
+            return 4 if row[0] == "\t" or blanks >= 4 else 2
+    return None
+
+
+_SCRIPT = re.compile(r"^((?:\s|//[^\n]*\n|/\*.*?\*/)*)var\s+(\$?\w+)\s*=\s*(\[.*\])\s*;?\s*$", re.S)
+
+
+def _unwrap(body: str) -> tuple[object, str | None, str]:
+    """(tree, comments before a script-wrapped list or None, name of its variable); raises ValueError for what is no tree."""
+    m = _SCRIPT.match(body)
+    if m:
+        return json.loads(m[3]), m[1].strip("\n"), m[2]
+    return json.loads(body), None, ""
+
+
+def output_path(file: F.Column) -> F.Column:
+    """Path of a patched file below the output folder: what follows the last ``data`` folder, else the file's name. A path that would climb out is an error."""
+    f = F.replace(text(file), F.lit("\\"), F.lit("/"))
+    below = F.regexp_extract(f, r"(?:^|/)data/((?:(?!.*/data/).)*)$", 1)
+    out = F.when(below != "", below).otherwise(F.substring_index(f, "/", -1))
+    return F.when(out.rlike(r"(^|/)\.\.(/|$)"), F.raise_error(F.concat(F.lit("unsafe output path: "), f)).cast("string")).otherwise(out)
+
+
+def drift(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(path, status) of every file of a manifest (path, sha256): ``same``, ``modified`` or ``missing``. ``files`` (path, content)."""
+    now = files.select("path", F.sha2("content", 256).alias("_now")).groupBy("path").agg(F.max("_now").alias("_now"))
+    return manifest.join(now, "path", "left").select("path", F.when(F.col("_now").isNull(), "missing").when(F.col("_now") == F.lower("sha256"), "same").otherwise("modified").alias("status"))
 
 
 def patch(files: DataFrame, results: DataFrame) -> DataFrame:
     """(file, body, applied, stale): every file with its results put in at their paths.
 
     A result with several sub_keys gives one line to each; more keys than lines repeat the last line. A path that is not there is ``stale``; where all are, ``body`` is null and
-    nothing should be written. Blank targets are left out. Files are joined by their name: one task holds the results of one file at a time, which are no more than the file's own texts.
+    nothing should be written. Script-wrapped plugin lists keep their comments (deviation D7: nothing is written over its source). Blank targets are left out. Files are joined by their name: one task holds the results of one file at a time, which are no more than the file's own texts.
     """
     r = results.where(~blank(F.col("target"))).select("file", F.struct("ord", "key", "target", F.coalesce("sub_keys", F.array().cast("array<string>")).alias("sub_keys")).alias("r"))
     last = r.groupBy("file", "r.key").agg(F.max("r").alias("r"))
@@ -121,7 +144,7 @@ def patch(files: DataFrame, results: DataFrame) -> DataFrame:
             for file, body, rows in zip(part["file"], part["body"], part["rows"]):
                 plain = (body or "").lstrip("﻿ \t\r\n")
                 try:
-                    root = json.loads(plain)
+                    root, header, variable = _unwrap(plain)
                 except ValueError:
                     out.append((file, None, 0, len(rows)))
                     continue
@@ -135,7 +158,10 @@ def patch(files: DataFrame, results: DataFrame) -> DataFrame:
                         ok = _set(root, path_steps(key), cut[min(k, len(cut) - 1)])
                         applied, stale = applied + ok, stale + (not ok)
                 indent = _indent(plain)
-                text_out = json.dumps(root, ensure_ascii=False, indent=indent, separators=None if indent else (",", ":"))
+                if header is None:
+                    text_out = json.dumps(root, ensure_ascii=False, indent=indent, separators=None if indent else (",", ":"))
+                else:  # a script keeps its comments
+                    text_out = (header + "\n" if header else "") + f"var {variable} =\n" + json.dumps(root, ensure_ascii=False, indent=2) + ";\n"
                 out.append((file, text_out if applied else None, applied, stale))
             yield pd.DataFrame(out, columns=["file", "body", "applied", "stale"]).astype({"applied": "int64", "stale": "int64"})
 

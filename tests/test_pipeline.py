@@ -39,6 +39,25 @@ def test_parse_answers():
         parse_answers('{"a": 1}')
 
 
+def test_parse_names_and_segments():
+    assert provider.parse_names('```json\n{"ディオン": " Dion ", "Al": "Al", "健太": "健太", "other": "x"}\n```', {"ディオン", "Al", "健太"}) == {"ディオン": "Dion", "Al": "Al"}
+    assert provider.parse_names('[{"name": "Al", "target": "El"}, 3, {"original": "x"}]', {"Al", "x"}) == {"Al": "El"} and provider.parse_names("no", {"a"}) == {}
+    assert provider.parse_segments([[["a", 1], ["b"], [None], 3]]) == "ab" and provider.parse_segments([]) == "" and provider.parse_segments({}) == ""
+
+
+def test_names_are_asked_once(spark):
+    class Latin(Provider):
+        def translate(self, texts, target_lang, source_lang):
+            return [{"フォル": "Fol"}.get(t, t) for t in texts]
+
+    PROVIDERS["latin"] = Latin
+    rows = [("f", str(i), rf"\n<\C[2]{n}>やあ", "rpg_maker_event_text", None, None, i) for i, n in enumerate(["フォル", "フォル", "健太", "知", "Bob"])]
+    known = spark.createDataFrame([("知", "Tomo")], "original string, translation string")
+    got = pipeline.translate_names(spark.createDataFrame(rows, E), pipeline.Options("de", provider="latin", wait=0), known)
+    assert {tuple(r) for r in got.collect()} == {("フォル", "Fol"), ("知", "Tomo")}
+    del PROVIDERS["latin"]
+
+
 def test_match_answers(spark):
     batch = spark.createDataFrame([(1, "f", "k", "s"), (1, "g", "k", "s"), (2, "f", "k", "s"), (2, "f", "m", "s")], "batch_no int, file string, key string, source string")
     answers = spark.createDataFrame([(1, "f\x1fk", "k", "one", 0), (1, None, "k", "two", 1), (2, None, "k", "three", 0)], "batch_no int, id string, key string, target string, n int")

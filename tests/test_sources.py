@@ -90,3 +90,26 @@ def test_plugins_and_engines(spark):
     assert games.path_steps("$.a[1]['b c'].d") == ["a", 1, "b c", "d"]
     dup = spark.createDataFrame([("x/a.json",), ("y/a.json",)], "file string")
     assert games.duplicate_outputs(dup, F.substring_index("file", "/", -1)).count() == 1
+
+
+def test_scripts_paths_and_drift(spark):
+    js = '// made by a tool\nvar $plugins =\n[{"name":"A","status":true,"parameters":{"Title":"Hello you"}}];\n'
+    f = spark.createDataFrame([("js/plugins.js", js)], "file string, body string")
+    r = spark.createDataFrame([("js/plugins.js", "$[0].parameters['Title']", "Hallo", None, 1)], "file string, key string, target string, sub_keys array<string>, ord bigint")
+    body = games.patch(f, r).first().body
+    assert body.startswith("// made by a tool\nvar $plugins =\n[\n  {") and body.endswith("];\n") and '"Title": "Hallo"' in body
+    paths = spark.createDataFrame([("g/www/data/Map1.json",), ("g/data/ui/a.json",), ("x.json",), ("C:\\g\\data\\b.json",)], "file string")
+    assert [x.o for x in paths.select(games.output_path(F.col("file")).alias("o")).collect()] == ["Map1.json", "ui/a.json", "x.json", "b.json"]
+    import hashlib
+
+    import pytest
+
+    with pytest.raises(Exception, match="unsafe"):
+        spark.createDataFrame([("g/data/../../x.json",)], "file string").select(games.output_path(F.col("file"))).collect()
+    man = spark.createDataFrame([("a", hashlib.sha256(b"x").hexdigest()), ("b", "0"), ("c", "0")], "path string, sha256 string")
+    now = spark.createDataFrame([("a", b"x"), ("b", b"y")], "path string, content binary")
+    assert {tuple(x) for x in games.drift(now, man).collect()} == {("a", "same"), ("b", "modified"), ("c", "missing")}
+
+
+def test_indent():
+    assert [games._indent(x) for x in ('{"a":1}', '{\n  "a": 1\n}', '{\n\t"a": 1\n}', '{\n\n    "a": 1\n}', '{\n"a":\n1}')] == [None, 2, 4, 4, None]
