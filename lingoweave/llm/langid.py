@@ -147,7 +147,7 @@ class LanguageModel:
                 least = self.FLOOR * max(1, len(w) / 2) if c > "\u2fff" else self.FLOOR
                 got[:] = least
                 got[some] = np.maximum(s - s.max(), least)
-            if len(self.cache) < 400_000:
+            if len(self.cache) < 200_000 and len(w) < 40:
                 self.cache[w] = got
         return got
 

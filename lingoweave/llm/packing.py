@@ -8,7 +8,7 @@ the curve, longest item first into the fullest container that still takes it.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,19 +68,20 @@ def text_keys(texts: list[bytes]) -> np.ndarray:
     return hilbert(points)
 
 
-def pack(sizes: list[int], capacity: int, windows: int = 64, most_open: int = 64) -> tuple[list[tuple[int, int, int, int]], int]:
-    """Pieces (item, part, size, container) of items in order, and the number of containers.
+def packed(sizes: Iterable[int], capacity: int, windows: int = 64, most_open: int = 64) -> Iterator[list[tuple[int, int, int, int]]]:
+    """Pieces (item, part, size, container) of items in order, window by window; containers are numbered from 0.
 
-    An item above the capacity is cut into full pieces, each a container of its own, and a rest; no other is cut.
+    An item above the capacity is cut into full pieces, each a container of its own, and a rest; no other is cut. Only a window of items
+    and the containers still open are held.
     """
-    out: list[tuple[int, int, int, int]] = []
     n = 0
     free: list[tuple[int, int]] = []  # (room left, container), ascending
     waiting: list[tuple[int, int, int]] = []
+    out: list[tuple[int, int, int, int]] = []
     total = 0
 
-    def flush() -> None:
-        nonlocal n, total
+    def settle() -> None:
+        nonlocal n
         waiting.sort(key=lambda x: -x[0])
         for size, item, part in waiting:
             k = bisect_left(free, (size, -1))
@@ -93,7 +94,6 @@ def pack(sizes: list[int], capacity: int, windows: int = 64, most_open: int = 64
             insort(free, (room - size, box))
         del free[:-most_open]
         waiting.clear()
-        total = 0
 
     for item, size in enumerate(sizes):
         part = 0
@@ -105,9 +105,19 @@ def pack(sizes: list[int], capacity: int, windows: int = 64, most_open: int = 64
         waiting.append((size, item, part))
         total += size
         if total >= windows * capacity or len(waiting) >= 50_000:
-            flush()
-    flush()
-    return out, n
+            settle()
+            total = 0
+        if len(out) >= 100_000:
+            yield out
+            out = []
+    settle()
+    yield out
+
+
+def pack(sizes: Iterable[int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """All pieces, and the number of containers."""
+    out = [x for part in packed(sizes, capacity) for x in part]
+    return out, max((box for *_, box in out), default=-1) + 1
 
 
 def fill_requests(entries: DataFrame, limits: DataFrame, texts: tuple[str, ...] = ("source", "context_text"), partitions: int | None = None) -> DataFrame:
@@ -150,9 +160,8 @@ def fill_requests(entries: DataFrame, limits: DataFrame, texts: tuple[str, ...]
         sizes = np.concatenate([b.column(1).to_numpy() for b in got])
         base = int(got[0].column(2)[0].as_py()) << 32
         for provider, cap in caps:
-            out, _ = pack(sizes.tolist(), cap)
-            for i in range(0, len(out), 100_000):
-                item, part, size, box = np.array(out[i:i + 100_000], np.int64).T
+            for out in packed(map(int, sizes), cap):
+                item, part, size, box = np.array(out, np.int64).reshape(-1, 4).T
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([provider] * len(item), pa.string()), pa.array(box + base), pa.array(ids[item]), pa.array((part + 1).astype(np.int32)), pa.array(np.maximum(1, -(-sizes[item] // cap)).astype(np.int32)), pa.array(part * cap), pa.array(size)],
                     names=["provider", "request_no", "ord", "part_no", "parts", "from_char", "chars"])
