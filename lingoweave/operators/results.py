@@ -68,12 +68,13 @@ def effective_memory(memory: DataFrame, target_lang: str, source_lang: str | Non
 def lookup_memory(entries: DataFrame, memory: DataFrame) -> DataFrame:
     """``entries`` with ``remembered``: the memory's target for the entry's context, else for no context, else null.
 
-    One shuffle join on the source for both: the memory is gathered to one row per source, with its targets by context.
+    Two left joins with unique keys on the right: the first on context and source, the second on the source alone. A source with a third of the entries
+    is split by the adaptive skew join; the memory's rows are never gathered.
     """
-    by_source = memory.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("context", "target"))).alias("_m"))
-    found = entries.join(by_source, "source", "left")
-    hit = F.coalesce(F.try_element_at("_m", text(F.col("context"))), F.try_element_at("_m", F.lit("")))
-    return found.withColumn("remembered", hit).drop("_m").select(*entries.columns, "remembered")
+    exact = memory.select(F.col("context").alias("_c"), F.col("source").alias("_s"), F.col("target").alias("_exact"))
+    general = memory.where("context = ''").select(F.col("source").alias("_g"), F.col("target").alias("_general"))
+    found = entries.join(exact, (text(F.col("context")) == F.col("_c")) & (F.col("source") == F.col("_s")), "left").join(general, F.col("source") == F.col("_g"), "left")
+    return found.select(*[entries[c] for c in entries.columns], F.coalesce("_exact", "_general").alias("remembered"))
 
 
 def upsert_memory(memory: DataFrame, results: DataFrame, target_lang: str, source_lang: str = "auto", provider: str = "", now: Column | None = None) -> DataFrame:
