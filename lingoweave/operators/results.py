@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.contexts import NAME_CONTEXTS, context_hint, dedup_category
@@ -188,6 +188,14 @@ def merge_batch(review: DataFrame, batch: DataFrame) -> DataFrame:
     return review.join(b, ID, "left").withColumn("target", F.when(F.col("_new").isNotNull() & ~F.coalesce("manually_edited", F.lit(False)), F.col("_new")).otherwise(F.col("target"))).drop("_new")
 
 
+def next_warning(results: DataFrame, order: str = "ord") -> DataFrame:
+    """(file, ord, next): for every row the place of the next row of its file that has a warning, from the start again after the last; null without any."""
+    w = with_status(results).select("file", order, F.when(F.col("status") == "warn", F.col(order)).alias("_w"))
+    by = Window.partitionBy("file")
+    ahead = F.min("_w").over(by.orderBy(order).rowsBetween(1, Window.unboundedFollowing))
+    return w.select("file", order, F.coalesce(ahead, F.min("_w").over(by)).alias("next"))
+
+
 # --- reports ----------------------------------------------------------------------------------------------------------
 
 def _share(part: Column, whole: Column) -> Column:

@@ -408,6 +408,31 @@ def preview_filter(spark: SparkSession, d: str) -> DataFrame:
     return results.preview_filter(lens.results(spark, d), "warn", "dialogue", "Map").select("file", "key", "ord")
 
 
+@query(f"""with {RESULTS}, {WARNED}, x as (select file, ord, case when {STATUS} = 'warn' then ord end as k from w)
+select file, ord, coalesce(min(k) over (partition by file order by ord rows between 1 following and unbounded following), min(k) over (partition by file)) as next from x""")
+def next_warnings(spark: SparkSession, d: str) -> DataFrame:
+    return results.next_warning(lens.results(spark, d))
+
+
+@query(f"""with {RESULTS}, b as (select file, key, max(concat('N', target)) as n from r where ord % 2 = 0 group by 1, 2)
+select r.ord, case when b.n is not null and r.ord % 4 <> 0 then b.n else r.target end as target from r left join b on b.file = r.file and b.key = r.key""")
+def batch_merge(spark: SparkSession, d: str) -> DataFrame:
+    """A batch of new targets merged into the review table, of which every fourth row was edited by hand."""
+    r = lens.results(spark, d)
+    batch = r.where("ord % 2 = 0").select("file", "key", F.concat(F.lit("N"), "target").alias("target"))
+    return results.merge_batch(r.withColumn("manually_edited", F.col("ord") % 4 == 0), batch).select("ord", "target")
+
+
+@query(f"""with {RESULTS}, b as (select *, ord % 200 as batch_no from r), a as (select batch_no, case when ord % 3 = 0 then concat(file, chr(31), key) end as id, case when ord % 3 = 1 then key end as key, target, ord as n from b where ord % 5 <> 0),
+f as (select batch_no, count(distinct file) as files from b group by 1), i as (select batch_no, id, arg_max(target, n) as t from a where id is not null group by 1, 2), k as (select batch_no, key, arg_max(target, n) as t from a where key is not null group by 1, 2)
+select b.ord, coalesce(i.t, case when f.files = 1 then k.t end, b.source) as target from b join f using (batch_no) left join i on i.batch_no = b.batch_no and i.id = concat(b.file, chr(31), b.key) left join k on k.batch_no = b.batch_no and k.key = b.key""")
+def response_match(spark: SparkSession, d: str) -> DataFrame:
+    """Answers by id or by key only, some missing, matched to the rows of their batch."""
+    b = lens.results(spark, d).withColumn("batch_no", F.col("ord") % 200)
+    a = b.where("ord % 5 <> 0").select("batch_no", F.when(F.col("ord") % 3 == 0, F.concat_ws("\x1f", "file", "key")).alias("id"), F.when(F.col("ord") % 3 == 1, F.col("key")).alias("key"), "target", F.col("ord").alias("n"))
+    return provider.match_answers(b.select("batch_no", "file", "key", "source", "ord"), a).select("ord", "target")
+
+
 @query(f"with {RESULTS} select count(*) as total, count(*) filter (not {BLANK_T} and target <> source) as translated, count(*) filter ({BLANK_T} or target = source) as fallback from r")
 def translate_report(spark: SparkSession, d: str) -> DataFrame:
     return results.translate_report(lens.results(spark, d))
@@ -609,11 +634,12 @@ def scan_top_files(spark: SparkSession, d: str) -> DataFrame:
     return results.top_files(lens.entries(spark, d))
 
 
-@query("""with l as (select distinct string_split(file, '/')[1] as game, substr(file, length(string_split(file, '/')[1]) + 2) as path from entries where file is not null)
-select game, case min(case when regexp_matches(path, '(?i)^data/[^/]*\\.rvdata2$') then 0 when regexp_matches(path, '^(www/)?data/') then 6 end) when 0 then 'vx-ace' when 6 then 'mv-mz' end as engine from l group by game""")
+@query("""with l as (select distinct string_split(file, '/')[1] as game, substr(file, length(string_split(file, '/')[1]) + 2) as path from entries where file is not null),
+g as (select game, case min(case when regexp_matches(path, '(?i)^data/[^/]*\\.rvdata2$') then 0 when regexp_matches(path, '^(www/)?data/') then 6 end) when 0 then 'vx-ace' when 6 then 'mv-mz' end as engine from l group by game)
+select *, case when engine = 'mv-mz' then 'rpg-maker-mz' else 'rpg-maker-mv' end as type from g""")
 def engine_detect(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "entries").where("file is not null").select(F.substring_index("file", "/", 1).alias("game"), F.expr("substring(file, length(substring_index(file, '/', 1)) + 2)").alias("path")).distinct()
-    return games.detect_engine(f)
+    return games.detect_engine(f).withColumn("type", C.game_type(F.col("engine")))
 
 
 @query(f"""with c as (select line_no, unnest([{{'c': 'term', 'v': {strip_sql('term')}}}, {{'c': 'translation', 'v': {strip_sql('translation')}}}, {{'c': 'note', 'v': {strip_sql('note')}}}]) as x from glossary)
