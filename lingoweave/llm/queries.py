@@ -107,8 +107,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _CANONICAL = r"""
 with e as (
-  select ord, regexp_replace(lower(upper(source)), '[^\p{L}\p{N}]+', '', 'g') as t,
-         list_sort(list_filter(list_transform(string_split_regex(context, '[|;,/]'), lambda x: regexp_replace(lower(upper(x)), '[^\p{L}\p{N}]+', '', 'g')), lambda x: x <> '')) as f
+  select ord, regexp_replace(lower(replace(upper(source), 'ẞ', 'SS')), '[^\p{L}\p{N}]+', '', 'g') as t,
+         list_sort(list_filter(list_transform(string_split_regex(context, '[|;,/]'), lambda x: regexp_replace(lower(replace(upper(x), 'ẞ', 'SS')), '[^\p{L}\p{N}]+', '', 'g')), lambda x: x <> '')) as f
   from entries),
 g as (select ord, min(ord) over (partition by t, f) as first_ord, count(*) over (partition by t, f) as copies from e where t <> '' and len(f) > 0)
 """
