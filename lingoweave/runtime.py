@@ -61,22 +61,22 @@ def _drop(spark: SparkSession) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, once per application: they needn't have it installed.
-
-    The archive is served by the driver.
-    """
+    """Give executors this package, once per application: they needn't have it installed. The archive lies in the shared folder."""
+    import io
     import zipfile
     from pathlib import Path
 
     context = spark.sparkContext
     if getattr(ship, "_done", None) == context.applicationId:
         return
-    root = Path(__file__).resolve().parent
-    where = tempfile.mkdtemp(prefix="lingoweave-ship-")
-    atexit.register(shutil.rmtree, where, True)
-    archive = f"{where}/lingoweave.zip"
+    root, archive = Path(__file__).resolve().parent, io.BytesIO()
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, f"lingoweave/{p.relative_to(root)}")
-    context.addPyFile(archive)
+    where = f"{shared_dir(spark)}/lingoweave/package-{uuid.uuid4().hex}/lingoweave.zip"
+    path = context._jvm.org.apache.hadoop.fs.Path(where)
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(archive.getvalue()))
+    out.close()
+    context.addPyFile(where)
     ship._done = context.applicationId
