@@ -12,9 +12,11 @@ import unicodedata
 from collections import defaultdict
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import sample_distinct
+
 LANGUAGES = ["en", "de", "fr", "es", "pt", "vi", "ja", "ko", "zh"]
 LATIN = [LANGUAGES.index(x) for x in ("en", "de", "fr", "es", "pt", "vi")]
 HAN = [LANGUAGES.index(x) for x in ("ja", "zh")]
@@ -227,8 +229,4 @@ def train_language_model(results: DataFrame, sample_rows: int = 24_000) -> Langu
     texts = (results.select(F.col("target").alias("t"), F.lower("target_lang").alias("l"))
              .unionByName(results.select(F.col("source").alias("t"), F.lower("source_lang").alias("l")))
              .where(F.col("l").isin(LANGUAGES) & (F.length("t") > 0)))
-    each = sample_rows // len(LANGUAGES)
-    # the limit on the rank is applied before the shuffle too, so that no language is ever gathered in one task
-    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64(F.lit("language"), "t"), "t"))
-    rows = texts.groupBy("t", "l").agg(F.count(F.lit(1)).alias("n")).withColumn("k", rank).where(F.col("k") <= each)
-    return LanguageModel(sorted((r.t, r.l) for r in rows.select("t", "l").collect()))
+    return LanguageModel([(r.t, r.l) for r in sample_distinct(texts, ["t", "l"], sample_rows // len(LANGUAGES), salt="language", by="l")])
