@@ -2,7 +2,8 @@
 
 A multinomial model over hashed byte bigrams is trained on a bounded sample of the texts themselves and on the same texts
 garbled by every chain of a list. A row is suspect where the log odds of garbled against clean text, summed along its
-bytes, rise by enough within some stretch. Of a suspect the likeliest chains are inverted; an inversion counts where it
+bytes, rise by enough within some stretch. Chains between single-byte encodings, which change a letter here and there, have odds
+of their own. Of a suspect the likeliest chains are inverted; an inversion counts where it
 decodes strictly and gives text that the model finds far more usual.
 """
 
@@ -67,6 +68,26 @@ CHAINS: dict[str, tuple[tuple[str, str], ...]] = {
     "gbk>utf8": (("gb18030", "utf-8"),),
 }
 
+#: Single-byte text read with another single-byte encoding. Text in Latin-1 is text in Windows-1252 as well.
+_BYTES = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "latin1")
+SINGLE: dict[str, tuple[tuple[str, str], ...]] = {
+    f"{a}>{b}": (({"cp1252": "w1252"}.get(a, a), {"cp1252": "w1252", "latin1": "latin-1"}.get(b, b)),) for a in _BYTES[:-1] for b in _BYTES if a != b
+}
+CHAINS |= SINGLE
+
+#: Marks that clean text has beside its letters; that another encoding would make letters of them says nothing.
+_TYPOGRAPHIC = frozenset("\u00a0«»–—‘’“”„…")
+#: what UTF-8 leaves when it was read as Latin-1: then the chain was another
+_UTF8_AGAIN = re.compile("[\u00c2\u00c3][\u0080-\u00bf]")
+#: signs that a single-byte encoding has beyond ASCII and those marks
+_ODD = frozenset(c for _, b in (x[0] for x in SINGLE.values()) for c in bytes(range(128, 256)).decode("cp1252" if b == "w1252" else b, "ignore")) - _TYPOGRAPHIC
+#: Letters of the languages here and of names, by their bases and accents
+_LETTERS = frozenset(x for c in "äöüßàâæçéèêëîïôœùûÿáíñóúãõăđìĩòơũưýøåạảấầẩẫậắằẳẵặẹẻẽếềểễệịỉọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ" for x in (c, c.upper()))
+#: Signs that clean text may well have beside a letter
+_UNITS = frozenset("°ºª§€£©®™¿¡")
+_STRANGE, _CAPITAL = (re.escape("".join(sorted(x))) for x in (_ODD - _LETTERS, {c for c in _ODD if c.isupper()}))
+#: beside a Latin letter what is no letter of these languages, or a capital after a small letter
+_BESIDE = re.compile(f"(?<=[A-Za-z])[{_STRANGE}]|[{_STRANGE}](?=[A-Za-z])|(?<=[a-z])[{_CAPITAL}]")
 
 _UNASSIGNED = frozenset("\x81\x8d\x8f\x90\x9d")
 
@@ -131,14 +152,14 @@ class EncodingModel:
     """Log probabilities of hashed byte bigrams in clean text and under each chain."""
 
     def __init__(self, clean: list[str], smoothing: float = 0.05):
-        self.chains = list(CHAINS)
+        self.chains = [c for c in CHAINS if c not in SINGLE]
         self.smoothing = smoothing
         texts = sorted({t for t in clean if t})
         # capitals are as clean as what they were made from
         clean = sorted({v for t in texts for v in (t, t.upper(), t.lower())})
         # the sample itself holds garbled texts: a model of a quarter of it tells which to leave out
         self._fit(clean, [t for t in texts if not t.isascii()][::4])
-        keep = [t for t in clean if t.isascii() or self.rise(t)[0] < 8]
+        keep = [t for t in clean if t.isascii() or self.rise(t)[0] < 8 and not (_BESIDE.search(t) and self.rise(t, True)[0] >= 4 and self._restore_single(t)[0])]
         kept = set(keep)
         self._fit(keep, [t for t in texts if not t.isascii() and t in kept])
 
@@ -158,22 +179,34 @@ class EncodingModel:
         # more frequent in it than in the texts it was made from.
         source = self._count(originals)
         source /= max(1.0, source.sum())
-        pooled, by_chain = np.zeros(BUCKETS), []
-        for c in self.chains:
-            n = self._count([g for t in originals if (g := garble(t, c))])
-            by_chain.append(log(n))
+        pooled, by_chain = np.zeros((2, BUCKETS)), []
+        own: dict[str, tuple[list[str], np.ndarray]] = {}
+        for c in CHAINS:
+            texts, before = originals, source
+            if c in SINGLE:
+                # few texts have a place in a single-byte encoding: they are compared with themselves
+                true = CHAINS[c][0][0]
+                if true not in own:
+                    texts = [t for t in originals if _has(t, true)]
+                    n = self._count(texts)
+                    own[true] = texts, n / max(1.0, n.sum())
+                texts, before = own[true]
+            n = self._count([g for t in texts if (g := garble(t, c))])
+            if c not in SINGLE:
+                by_chain.append(log(n))
             share = n / max(1.0, n.sum())
-            pooled += np.where(share > 2 * source, share, 0)
+            pooled[int(c in SINGLE)] += np.where(share > 2 * before, share, 0)
         self.by_chain = np.stack(by_chain)
-        pooled = np.maximum(pooled / len(self.chains), 1e-9)
-        self.odds = np.clip(np.log(pooled) - self.clean, -8, 9).astype(np.float32)
+        pooled = np.maximum(pooled / [[len(self.chains)], [len(SINGLE)]], 1e-9)
+        self.odds, self.single_odds = np.clip(np.log(pooled) - self.clean, -8, 9).astype(np.float32)
 
-    def rise(self, text: str) -> tuple[float, int, int]:
-        """The largest sum of log odds over a stretch of bytes, and where the stretch lies."""
+    def rise(self, text: str, single: bool = False) -> tuple[float, int, int]:
+        """The largest sum of log odds over a stretch of bytes, and where the stretch lies; ``single``: by the chains between single-byte encodings."""
         data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
         if len(data) < 2:
             return 0.0, 0, 0
-        s = np.concatenate([[0], np.cumsum(self.odds[bigrams(data)], dtype=np.float64)])
+        odds = self.single_odds if single else self.odds
+        s = np.concatenate([[0], np.cumsum(odds[bigrams(data)], dtype=np.float64)])
         low = np.minimum.accumulate(s)
         end = int(np.argmax(s - low))
         return float(s[end] - low[end]), int(np.argmin(s[:end + 1])), end + 1
@@ -218,7 +251,7 @@ class EncodingModel:
         return float(self.clean[bigrams(data)[wide]].mean()) if wide.any() else -20.0
 
     def likely(self, text: str) -> list[tuple[float, str]]:
-        """Chains with the log odds of the text under them against clean text, best first."""
+        """Chains other than those between single-byte encodings, with the log odds of the text under them against clean text, best first."""
         data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
         if len(data) < 2:
             return []
@@ -228,6 +261,21 @@ class EncodingModel:
 
     def restore(self, text: str, tries: int = 8, margin: float = 10.0, least: float = -9.0) -> tuple[str | None, str | None]:
         """(original text, chain) where some chain can be inverted strictly for a part of the text and makes it more usual."""
+        found = self._restore(text, tries, margin, least)
+        return found if found[0] else self._restore_single(text, margin)
+
+    def _restore_single(self, text: str, margin: float = 10.0) -> tuple[str | None, str | None]:
+        """``restore`` by the chains between single-byte encodings, all of which are tried."""
+        best: tuple[float, str | None, str | None] = (0.0, None, None)
+        signs = {m.group() for m in _BESIDE.finditer(text)}
+        for chain in SINGLE:
+            if any(_has(c, CHAINS[chain][0][1]) for c in signs):
+                out, gain = self._invert(text, chain, margin, -np.inf)
+                if out and gain > best[0] and not MARKS.search(out) and not _UTF8_AGAIN.search(out) and _UNITS.issuperset(_BESIDE.findall(out)):
+                    best = (gain, out, chain)
+        return best[1:]
+
+    def _restore(self, text: str, tries: int = 8, margin: float = 10.0, least: float = -9.0) -> tuple[str | None, str | None]:
         _, a, b = self.rise(text)
         data = text.encode("utf-8", "replace")
         span = data[max(0, a - 1):b + 1].decode("utf-8", "ignore")
@@ -242,7 +290,7 @@ class EncodingModel:
 
     def guess(self, text: str, tries: int = 4) -> str:
         """The original as far as it can be had: the strict restoration, else what a likely chain leaves when unreadable bytes are skipped."""
-        base = self.restore(text)[0] or text
+        base = self._restore(text)[0] or text
         if not MARKS.search(base):
             return base
         _, a, b = self.rise(text)
@@ -270,9 +318,15 @@ class EncodingModel:
             back = ungarble(piece, chain)
             if back is None:
                 return None
-            more = self.usual(back) - self.usual(piece)
+            if chain in SINGLE:
+                if not any(back[m.start()].isalpha() and not (back[m.start()].isupper() and back[m.start() - 1:m.start()].islower()) for m in _BESIDE.finditer(piece)):
+                    return None
+                # what usual marks would turn into neither speaks for the chain nor against it
+                more = self.usual("".join(" " if x in _TYPOGRAPHIC else y for x, y in zip(piece, back))) - self.usual("".join(" " if x in _TYPOGRAPHIC else x for x in piece))
+            else:
+                more = self.usual(back) - self.usual(piece)
             # reading anything but UTF-8 has no check of its own: ask for more
-            if more < margin * (1 if CHAINS[chain][0][0] == "utf-8" else 2) or self.plain(back) < least:
+            if more < margin * (1 if CHAINS[chain][0][0] == "utf-8" or chain in SINGLE else 2) or self.plain(back) < least:
                 return None
             gain += more
             return back
@@ -287,6 +341,14 @@ class EncodingModel:
         return (whole, gain) if gain else (None, 0.0)
 
 
+def _has(text: str, name: str) -> bool:
+    try:
+        encode(text, name)
+    except UnicodeError:
+        return False
+    return True
+
+
 def _skip(c: str, read: str) -> bytes:
     try:
         return encode(c, read)
@@ -321,7 +383,7 @@ def garbled_texts(texts: DataFrame, model: EncodingModel, column: str = "text",
     is left in it), ``chain`` and ``score``.
 
     Null, empty and ASCII texts are never garbled: all encodings of the list agree on ASCII. ``suspect`` is the rise of the log odds from which
-    a row is inverted on trial, ``certain`` the rise from which it counts although no chain can be inverted, if
+    a row is inverted on trial (by the chains between single-byte encodings only if it has signs beside Latin letters that clean text lacks), ``certain`` the rise from which it counts although no chain can be inverted, if
     it shows one of ``MARKS``.
     """
     spark = texts.sparkSession
@@ -337,6 +399,9 @@ def garbled_texts(texts: DataFrame, model: EncodingModel, column: str = "text",
             if not batch.num_rows:
                 continue
             score = m.rises(batch.column(place).cast(pa.binary()).to_pylist())
+            for i, text in enumerate(batch.column(place).to_pylist()):
+                if score[i] < suspect and _BESIDE.search(text) and (rise := m.rise(text, True)[0]) >= suspect:
+                    score[i] = rise
             keep, restored, chain = [], [], []
             for i in np.flatnonzero(score >= suspect):
                 text = batch.column(place)[int(i)].as_py()

@@ -53,3 +53,11 @@ def test_rows(spark, model):
     assert {(r.ord, r.restored) for r in got.collect()} == {(4, CLEAN[5]), (6, CLEAN[5] * 400)} and got.count() == 3
     assert garbled_texts(df.limit(0), model).count() == 0
     assert train_encoding_model(df.limit(0)).rise("x")[0] <= 9
+
+
+def test_single_byte_text_read_with_another_single_byte_encoding(spark, model):
+    bad = [(1, CLEAN[0], "cp1252>cp437"), (2, CLEAN[1], "cp1252>cp437"), (3, CLEAN[2], "cp1252>cp850"), (4, CLEAN[3], "cp1252>cp437"), (5, CLEAN[2], "mac_roman>cp1252"), (6, CLEAN[11], "cp1252>mac_roman"), (7, CLEAN[2], "cp437>cp1252")]
+    clean = [*CLEAN, "“Yes…”", "Ja… —", "Là một trợ lý ngôn ngữ", "Équipement", "20°C", "Ænomo……"]
+    df = spark.createDataFrame([(i, garble(t, c)) for i, t, c in bad] + [(100 + i, t) for i, t in enumerate(clean)], "ord bigint, text string")
+    got = {r.ord: r.restored for r in garbled_texts(df, model).collect()}
+    assert got == {i: t for i, t, _ in bad}
