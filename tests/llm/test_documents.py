@@ -90,6 +90,17 @@ def test_cut_documents(spark, stories):
     assert cut_documents(d.limit(0), m).count() == 0
 
 
+def test_partner_behind_longer_members_of_its_buckets(spark):
+    rng = random.Random(8)
+    head, tails = story(rng, 25), [story(rng, 2) for _ in range(30)]
+    cut = head + " Take the silver lamp and bring"
+    rows = [(1, cut + " it to the old queen.", "a"), (2, cut, "a")]
+    rows += [(10 + i, f"{cut}. {t}", "a") for i, t in enumerate(tails)]  # longer than the partner, but there the cut is an end
+    rows += [(100, story(rng, 9), "a")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {(r.doc_id, r.by, r.partner) for r in cut_documents(d, CutModel([])).collect()} == {(2, "alignment", 1)}
+
+
 def test_allocation():
     got = allocate({"a": 1000, "b": 10, "x": 5}, {"a": 0.5, "b": 0.3, "gone": 0.2}, {"a": 2, "b": 3, "gone": 9}, 1010)
     assert got["b"] == 30 and abs(got["a"] - 980) < 1e-6 and got["gone"] == 0
