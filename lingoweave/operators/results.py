@@ -24,15 +24,15 @@ def loaded(df: DataFrame) -> DataFrame:
     return out
 
 
-def dedupe_last(df: DataFrame, order: str = "ord") -> DataFrame:
-    """One row per (file, key): the values of the last row, ``first_ord`` the place of the first.
+def dedupe_last(df: DataFrame, order: str = "ord", keys: list[str] = ID) -> DataFrame:
+    """One row per (file, key), or other ``keys``: the values of the last row, ``first_ord`` the place of the first.
 
     One aggregation with map-side combine; null keys are keys of their own, rows that tie on ``order`` are decided by their values.
     """
-    rest = [c for c in df.columns if c not in ID]
+    rest = [c for c in df.columns if c not in keys]
     comparable = [c for c, kind in df.dtypes if c in rest and not kind.startswith("map")]
     best = F.max_by(F.struct(*rest), F.struct(order, *[c for c in comparable if c != order]))
-    return df.groupBy(*ID).agg(best.alias("_r"), F.min(order).alias("first_ord")).select(*ID, "_r.*", "first_ord")
+    return df.groupBy(*keys).agg(best.alias("_r"), F.min(order).alias("first_ord")).select(*keys, "_r.*", "first_ord")
 
 
 def pending(entries: DataFrame, results: DataFrame) -> DataFrame:
@@ -113,24 +113,24 @@ def fan_out(entries: DataFrame, translated: DataFrame) -> DataFrame:
 
 # --- comparison -------------------------------------------------------------------------------------------------------
 
-def diff(old: DataFrame, new: DataFrame, results: DataFrame) -> DataFrame:
+def diff(old: DataFrame, new: DataFrame, results: DataFrame, keys: list[str] = ID) -> DataFrame:
     """(file, key, source, target, status) for new texts against old texts and their translations.
 
     ``unchanged``: same source and a translation that is not blank; ``changed``: another source (the old target in the status); ``new``: otherwise; ``removed``: translated
-    before and no longer there. All three inputs have one row per (file, key).
+    before and no longer there. All three inputs have one row per (file, key), or other ``keys``.
     """
-    o = old.select(*ID, text(F.col("source")).alias("old_source"))
-    t = results.select(*ID, text(F.col("target")).alias("old_target"), F.col("source").alias("translated_source"))
-    n = new.select(*ID, text(F.col("source")).alias("source"))
-    joined = n.join(o, ID, "left").join(t, ID, "left")
+    o = old.select(*keys, text(F.col("source")).alias("old_source"))
+    t = results.select(*keys, text(F.col("target")).alias("old_target"), F.col("source").alias("translated_source"))
+    n = new.select(*keys, text(F.col("source")).alias("source"))
+    joined = n.join(o, keys, "left").join(t, keys, "left")
     same = F.col("old_source").isNotNull() & (F.col("old_source") == F.col("source"))
     old_target = text(F.col("old_target"))
     now = joined.select(
-        *ID, "source", F.when(same, old_target).otherwise("").alias("target"),
+        *keys, "source", F.when(same, old_target).otherwise("").alias("target"),
         F.when(same & ~blank(old_target), "unchanged")
         .when(F.col("old_source").isNotNull() & ~same, F.when(~blank(old_target), F.concat(F.lit("changed (was: "), F.substring(old_target, 1, 80), F.lit(")"))).otherwise("changed"))
         .otherwise("new").alias("status"))
-    gone = t.join(n.select(*ID), ID, "left_anti").select(*ID, text(F.col("translated_source")).alias("source"), F.col("old_target").alias("target"), F.lit("removed").alias("status"))
+    gone = t.join(n.select(*keys), keys, "left_anti").select(*keys, text(F.col("translated_source")).alias("source"), F.col("old_target").alias("target"), F.lit("removed").alias("status"))
     return now.unionByName(gone)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import contexts as C
@@ -486,6 +486,37 @@ def diff_counts(spark: SparkSession, d: str) -> DataFrame:
     return results.diff(*_two(spark, d)).groupBy(F.substring_index("status", " ", 1).alias("status")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """The diff of every delivery with the one before it, in order of time."""
+    s = table(spark, d, "text_snapshots").where("snapshot_no is not null")
+    # one row per delivery: the window without a partition sees only these
+    steps = s.groupBy("snapshot_no").agg(F.min("taken_at").alias("t")).select("snapshot_no", F.lead("snapshot_no").over(Window.orderBy("t", "snapshot_no")).alias("next"), F.lag("snapshot_no").over(Window.orderBy("t", "snapshot_no")).alias("last"))
+    keys = ["snapshot_no", "file", "key"]
+    state = results.dedupe_last(s.select(*keys, X.text(F.col("source")).alias("source"), X.text(F.col("target")).alias("target"), "ord"), keys=keys)
+    new = state.join(F.broadcast(steps.where("last is not null").select("snapshot_no")), "snapshot_no")
+    old = state.join(F.broadcast(steps.where("next is not null").select("snapshot_no", "next")), "snapshot_no").drop("snapshot_no").withColumnRenamed("next", "snapshot_no")
+    return results.diff(old, new, old, keys)
+
+
+DELIVERIES = f"""o as (select snapshot_no as b, lead(snapshot_no) over (order by t, snapshot_no) as a from (select snapshot_no, min(taken_at) as t from text_snapshots where snapshot_no is not null group by 1)),
+s as (select snapshot_no, file, key, arg_max(coalesce(source, ''), ord) as source, arg_max(coalesce(target, ''), ord) as target from text_snapshots where snapshot_no is not null group by all),
+new as (select s.* from s join o on o.a = s.snapshot_no), old as (select o.a as snapshot_no, file, key, source, target from s join o on o.b = s.snapshot_no where o.a is not null),
+d as (select b.snapshot_no, b.file, b.key, b.source, case when a.source = b.source then a.target else '' end as target,
+case when a.source = b.source and {strip_sql('a.target')} <> '' then 'unchanged' when a.source is not null and a.source <> b.source then case when {strip_sql('a.target')} <> '' then concat('changed (was: ', substr(a.target, 1, 80), ')') else 'changed' end else 'new' end as status
+from new b left join old a on a.snapshot_no = b.snapshot_no and a.file = b.file and a.key = b.key
+union all select a.snapshot_no, a.file, a.key, a.source, a.target, 'removed' from old a where not exists (select 1 from new b where b.snapshot_no = a.snapshot_no and b.file = a.file and b.key = a.key))"""
+
+
+@query(f"with {DELIVERIES} select * from d")
+def diff_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    return _deliveries(spark, d)
+
+
+@query(f"with {DELIVERIES} select snapshot_no, string_split(status, ' ')[1] as status, count(*) as rows from d group by all")
+def diff_delivery_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _deliveries(spark, d).groupBy("snapshot_no", F.substring_index("status", " ", 1).alias("status")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 # --- glossary ---------------------------------------------------------------------------------------------------------
 
 GLOSSARY = f"""g0 as (select {strip_sql('term')} as term, {strip_sql('translation')} as translation, {strip_sql('category')} as category, line_no from glossary),

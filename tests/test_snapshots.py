@@ -1,6 +1,7 @@
 from datetime import datetime
 
 from lingoweave.operators.snapshots import snapshot_changes
+from lingoweave.plans import catalogue
 
 SCHEMA = "snapshot_no bigint, taken_at timestamp, file string, key string, source string, target string, ord bigint, _s string, change string"
 
@@ -36,3 +37,10 @@ def test_nulls_moves_of_text_between_columns_and_hot_identity(spark):
 def test_empty_and_single(spark):
     assert changes(spark, []) == set()
     assert changes(spark, [(1, None, "a", "k", "s", "t", 1)]) == set()
+
+
+def test_diff_of_all_deliveries(spark, tmp_path):
+    data = rows((2, None, "a", "k", "s", "t", 1), (5, None, "a", "k", "S", "t", 2), (9, None, "a", "k", "S", "u", 3), (9, None, "a", "l", "x", "y", 4), (11, None, "a", "l", "x", "y", 5))
+    spark.createDataFrame(data, SCHEMA).write.parquet(f"{tmp_path}/text_snapshots.parquet")
+    got = {(r.snapshot_no, r.key, r.status) for r in catalogue.queries()["diff_deliveries"](spark, str(tmp_path)).collect()}
+    assert got == {(5, "k", "changed (was: t)"), (9, "k", "unchanged"), (9, "l", "new"), (11, "l", "unchanged"), (11, "k", "removed")}
