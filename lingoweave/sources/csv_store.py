@@ -55,7 +55,7 @@ def write_entries(df: DataFrame, path: str) -> None:
 def write_results(df: DataFrame, path: str, extra: list[str] | None = None) -> None:
     """The fixed columns and those of ``extra``; without a list, every key that occurs, in order (a set of column names, which stays small)."""
     if extra is None:
-        extra = sorted(r[0] for r in df.select(F.explode(F.map_keys("extra"))).distinct().limit(1000).collect()) if "extra" in df.columns else []
+        extra = sorted(r[0] for r in df.select(F.explode(F.map_keys("extra"))).distinct().collect()) if "extra" in df.columns else []
     more = [text(F.try_element_at("extra", F.lit(c))).alias(c) for c in extra]
     df.select(*RESULT_COLUMNS[:-1], F.array_join("sub_keys", UNIT).alias("sub_keys"), *more).write.mode("overwrite").options(**WRITE).csv(path)
 

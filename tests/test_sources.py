@@ -113,3 +113,11 @@ def test_scripts_paths_and_drift(spark):
 
 def test_indent():
     assert [games._indent(x) for x in ('{"a":1}', '{\n  "a": 1\n}', '{\n\t"a": 1\n}', '{\n\n    "a": 1\n}', '{\n"a":\n1}')] == [None, 2, 4, 4, None]
+
+
+def test_csv_keeps_more_than_a_thousand_extra_columns(spark, tmp_path):
+    rows = [("a.json", "$.x", "s", "t", "", [], {f"n{i}": "v" for i in range(1001)})]
+    df = spark.createDataFrame(rows, "file string, key string, source string, target string, context string, sub_keys array<string>, extra map<string,string>")
+    csv_store.write_results(df, str(tmp_path / "r"))
+    header = next((tmp_path / "r").glob("part-*")).read_text(encoding="utf-8").split("\n")[0].split(",")
+    assert len(header) == 1001 + len(csv_store.RESULT_COLUMNS)
