@@ -782,7 +782,8 @@ def pipeline_origins(spark: SparkSession, d: str) -> DataFrame:
 def _run(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "entries").withColumn("context", C.context_name(F.col("context")))
     r = table(spark, d, "results").withColumn("context", C.context_name(F.col("context")))
-    return pipeline.run(e, pipeline.Options("vi", "ja", wait=0.0), r, table(spark, d, "memory"))
+    options = pipeline.Options("vi", "ja", corrections=RULES, wait=0.0)
+    return pipeline.run(e, options, r, table(spark, d, "memory"), pipeline.translate_names(e, options))
 
 
 @query()

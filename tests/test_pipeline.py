@@ -84,3 +84,18 @@ def test_failed_texts_fall_back(spark):
     e = spark.createDataFrame([("f", "1", "hi", "c", None, None, 1)], E)
     assert pipeline.run(e, pipeline.Options("de", provider="never", wait=0)).first().target == "hi"
     del PROVIDERS["never"]
+
+
+def test_registered_run_has_names_and_corrections(spark, monkeypatch):
+    from lingoweave.plans import catalogue
+
+    seen = []
+    monkeypatch.setattr(catalogue.pipeline, "run", lambda e, options, results, memory, names=None: seen.append((options.corrections, names)) or e)
+    catalogue._run(spark, catalogue_data())
+    assert seen[0][0] == catalogue.RULES and seen[0][1].columns == ["original", "translation"]
+
+
+def catalogue_data():
+    import os
+
+    return os.environ.get("LINGOWEAVE_DATA", "/root/testdata/sf0.001")
