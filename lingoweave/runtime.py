@@ -19,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder shared by driver and executors: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, one machine) a temporary folder is made.
+    Where the session names none, a temporary folder is made on one machine (a local master); on a cluster, whose executors could not see it, that is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"spark.checkpoint.dir is not set: master {master} needs a folder that driver and executors share")
     here = getattr(shared_dir, "_own", None)
     if here is None or not os.path.isdir(here):
         here = tempfile.mkdtemp(prefix="lingoweave-")
@@ -32,29 +35,34 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{here}"
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """Path of a new folder below the shared one, removed by ``drop_stored`` or when the program ends."""
+    path = f"{shared_dir(spark)}/lingoweave/{label}-{uuid.uuid4().hex}"
+    if not _stored:
+        atexit.register(drop_stored, spark)
+    _stored.append(path)
+    return path
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return a scan of it.
 
     Cuts the lineage without depending on any one executor, and runs ``df`` exactly once.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lingoweave/{label}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, label)
     df.write.parquet(path)
-    if not _stored:
-        atexit.register(_drop, spark)
-    _stored.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _stored: list[str] = []
 
 
-def _drop(spark: SparkSession) -> None:
-    """Remove the stored tables when the program ends, if the application still runs then."""
+def drop_stored(spark: SparkSession) -> None:
+    """Remove all tables stored so far; results that were not written elsewhere can't be read any more. Long sessions call it between runs, others leave it to the end."""
     try:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for p in _stored:
-            path = jvm.org.apache.hadoop.fs.Path(p)
+        while _stored:
+            path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
             path.getFileSystem(conf).delete(path, True)
     except Exception:  # noqa: BLE001 - the application has ended before
         pass
