@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 
 from .langid import CODES
+from .words import Words
 
 #: signs after which a sentence is complete
 FULL = ".!?。！？｡．؟।"
 DOTS = re.compile(r"(?:\.{2,}|…+|⋯+|[-–—]+|[(（\[「『“\"'«<{]+)\s*$")
-_TOKEN = re.compile("[㐀-鿿豈-﫿ぁ-ヿ]|[가-힯]+|[^\\W\\d_ぁ-鿿가-힯]+|\\d+")
 
 
 def bare(text: str) -> str:
@@ -39,60 +38,105 @@ def closed(text: str) -> bool:
     return bool(_CLOSED.search(bare(text)[-60:]))
 
 
-def tail(text: str, most: int = 4) -> list[str]:
-    """The last tokens in lower case, without marks: words, single Han or kana signs, numbers."""
-    return _TOKEN.findall(text[-80:].lower())[-most:]
+def _join(*parts: np.ndarray) -> np.ndarray:
+    """Hash of hashes, in order."""
+    out = np.zeros(len(parts[0]), np.uint64)
+    for p in parts:
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + p
+    return out ^ (out >> np.uint64(32))
+
+
+class _Counts:
+    """How often each hash occurs, of those with at least ``least`` occurrences; one column of counts for each of the given weights."""
+
+    def __init__(self, keys: np.ndarray, *weights: np.ndarray, least: int = 1):
+        self.keys, at = np.unique(keys, return_inverse=True)
+        counts = [np.bincount(at, w, minlength=len(self.keys)) for w in (weights or [np.ones(len(keys))])]
+        keep = sum(counts) >= least if len(self.keys) else np.zeros(0, bool)
+        self.keys, self.counts = self.keys[keep], [c[keep].astype(np.float32) for c in counts]
+
+    def get(self, keys: np.ndarray) -> list[np.ndarray]:
+        if not len(self.keys):
+            return [np.zeros(len(keys), np.float32) for _ in self.counts]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        same = self.keys[at] == keys
+        return [np.where(same, c[at], 0) for c in self.counts]
+
+
+_BEGIN, _NUMBER = np.uint64(0xA076_1D64_78BD_642F), np.uint64(0xE703_7ED1_A0B4_28DB)
 
 
 class EndModel:
-    """Log odds that a text may end after its last tokens, from texts that are mostly whole."""
+    """Log odds that a text may end after its last tokens (words, Han and kana signs, numbers), from texts that are mostly whole."""
 
     ORDERS = (1, 2, 3, 4)
 
     def __init__(self, units: list[str]):
         """``units``: whole sentences and lines."""
-        self.end: Counter = Counter()
-        self.inside: Counter = Counter()
-        self.words: Counter = Counter()
-        self.prefixes: Counter = Counter()
-        self.after: dict[tuple[str, ...], Counter] = {}
-        for unit in units:
-            t = _TOKEN.findall(unit.lower())
-            for w in t:
-                self.words[w] += 1
-            t = ["^", *t]  # a unit may be a single word that is otherwise found inside
-            for i in range(1, len(t)):
-                self.after.setdefault(tuple(t[max(0, i - 2):i]), Counter())[t[i]] += 1
-                into = self.end if i == len(t) - 1 else self.inside
-                for n in self.ORDERS:
-                    if i + 1 >= n:
-                        into[" ".join("#" if x.isdigit() else x for x in t[i + 1 - n:i + 1])] += 1
-        for w, n in self.words.items():
-            for k in range(1, len(w)):
-                self.prefixes[w[:k]] += n
-
-    def score(self, text: str) -> float:
-        """Positive where the last words usually close a unit, negative where they don't or the last word looks cut."""
-        t = ["#" if x.isdigit() else x for x in tail(text, 4 if len(text) > 80 else 99)]
-        if not t:
-            return 0.0
-        t = t if len(text) > 80 else ["^", *t]
-        out = 0.0
+        w = Words(units, digits_apart=True)
+        some = np.repeat(np.arange(len(units)), w.count)
+        place = np.arange(len(some)) - w.first[some]
+        last = place == w.count[some] - 1
+        plain = np.where(w.number, _NUMBER, w.hash)  # all numbers alike
+        before = lambda h, k: np.where(place >= k, np.roll(h, k), np.where(place == k - 1, _BEGIN, np.uint64(0)))
+        self.ngrams = []
         for n in self.ORDERS:
-            if len(t) < n:
-                break
-            key = " ".join(t[-n:])
-            e, i = self.end[key], self.inside[key]
-            if e + i >= 2:
-                out = float(np.log((e + 0.3) / (i + 0.3)))
-        last = t[-1]
+            whole = place + 2 >= n  # a unit may be a single word that is otherwise found inside, so its beginning counts as a token
+            key = _join(*[before(plain, k) for k in range(n - 1, 0, -1)], plain)[whole]
+            self.ngrams.append(_Counts(key, last[whole], ~last[whole], least=2))
+        words, first, times = np.unique(w.hash, return_index=True, return_counts=True)
+        self.words = _Counts(np.repeat(words, 1), times)
+        size = w.stop[first] - w.start[first]
+        inner = np.maximum(size - 1, 0)
+        k = np.arange(int(inner.sum())) - np.repeat(np.cumsum(inner) - inner, inner) + 1
+        start = np.repeat(w.start[first], inner)
+        self.prefixes = _Counts(w.stretch(start, start + k), np.repeat(times, inner), least=5)
+        # what follows two tokens: each beginning of the next one, and the whole
+        context = _join(before(w.hash, 2), before(w.hash, 1))
+        follow = _Counts(_join(context, w.hash))
+        size = w.stop - w.start
+        k = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + 1
+        start = np.repeat(w.start, size)
+        self.beginnings = _Counts(_join(np.repeat(context, size), w.stretch(start, start + k)), least=3)
+        known = self.beginnings.get(follow.keys)[0] > 0
+        self.follow = _Counts(follow.keys[known])
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Positive where the last words usually close a unit, negative where they don't or the last word looks cut; 0 without words."""
+        n = len(texts)
+        w = Words([t[-80:] for t in texts], digits_apart=True)
+        short = np.fromiter((len(t) <= 80 for t in texts), bool, n)
+        out = np.zeros(n)
+        has = w.count > 0
+        if not has.any():
+            return out
+        plain = np.where(w.number, _NUMBER, w.hash)
+        end = w.first + w.count - 1
+
+        def token(h: np.ndarray, k: int) -> np.ndarray:
+            """The token k places before the last; the beginning of the text where it is near."""
+            at = np.maximum(end - k, 0)
+            return np.where(w.count > k, h[np.minimum(at, len(h) - 1)], np.where((w.count == k) & short, _BEGIN, np.uint64(0)))
+
+        for order, counts in zip(self.ORDERS, self.ngrams):
+            e, i = counts.get(_join(*[token(plain, k) for k in range(order - 1, -1, -1)]))
+            good = (e + i >= 2) & (w.count + short >= order)
+            out = np.where(good, np.log((e + 0.3) / (i + 0.3)), out)
+        last = token(w.hash, 0)
+        word = has & ~w.number[np.minimum(np.maximum(end, 0), len(w.number) - 1)]
         # a word that never stands here, where longer ones do that begin like it
-        known = self.after.get(tuple(tail(text, 3)[-3:-1]) if len(t) > 2 and t[-3] != "^" else ("^", *tail(text, 2)[:-1]) if t[0] == "^" else ())
-        if known and last != "#" and not known[last] and sum(n for w, n in known.items() if w.startswith(last)) >= 3:
-            out = min(out, -4.0)
-        if last != "#" and self.words[last] < 3 and self.prefixes[last] >= 5:
-            out -= 2.0 + 0.5 * float(np.log(self.prefixes[last] / (self.words[last] + 0.5)))
-        return float(np.clip(out, -8, 8))
+        context = _join(token(w.hash, 2), token(w.hash, 1))
+        known = word & ((w.count > 2) | short)
+        key = _join(context, last)
+        strange = known & (self.follow.get(key)[0] == 0) & (self.beginnings.get(key)[0] >= 3)
+        out = np.where(strange, np.minimum(out, -4.0), out)
+        seen, begun = self.words.get(last)[0], self.prefixes.get(last)[0]
+        cut = word & (seen < 3) & (begun >= 5)
+        out = np.where(cut, out - 2.0 - 0.5 * np.log(np.maximum(begun, 1) / (seen + 0.5)), out)
+        return np.where(has, np.clip(out, -8, 8), 0.0)
+
+    def score(self, text: str) -> float:
+        return float(self.scores([text])[0])
 
 
 class Logistic:

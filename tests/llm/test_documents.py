@@ -6,7 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lingoweave.llm.cuts import CutModel, cut_documents, cuts_by_source, ends_early, similarity, words
+from lingoweave.llm.cuts import CutModel, cut_documents, cuts_by_source, ends_early
+from lingoweave.llm.words import Words, levels, shared
 from lingoweave.llm.leaks import ItemIndex, leaked_items
 from lingoweave.llm.mixing import TOKENIZER, Mixture, allocate, count_tokens, inclusion_scale
 
@@ -64,7 +65,7 @@ def test_alignment():
     assert ends_early(long[:-16], long) and ends_early(long[:-4], long)
     assert not ends_early(long, long) and not ends_early("One two three", long)
     assert not ends_early(long, long + " End here.")  # ends with a unit of its partner
-    assert similarity(words(long), words(long)) == 1 and ends_early(long.upper()[:-16], long)
+    assert shared(Words([long[:57]]).hash, Words([long]).hash) == 1 and ends_early(long.upper()[:-16], long) and ends_early(long[:58], long)
     assert not ends_early(long[:-16].replace("three", "drei").replace("seven", "sieben").replace("nine", "neun"), long)
 
 
@@ -90,6 +91,41 @@ def test_cut_documents(spark, stories):
     assert cut_documents(d.limit(0), m).count() == 0
 
 
+def test_copies_cut_anywhere_are_found_by_alignment(spark):
+    """120 copies, each cut inside a word at 95 to 10 per cent, some with a word changed; the model of endings is empty, so that only alignment can find them."""
+    rng = random.Random(21)
+    rows, cut = [], {}
+    for i in range(120):
+        text = story(rng, rng.randrange(6, 30))
+        rows.append((i, text))
+        for k, share in enumerate((0.95, 0.85, 0.7, 0.5, 0.3, 0.1)):
+            at = int(len(text) * share)
+            while not (text[at - 2:at + 1].isalpha()):
+                at -= 1
+            part = text[:at].split(" ")
+            if i % 3 == 0 and len(part) > 30:
+                part[rng.randrange(len(part) - 1)] = "perhaps"
+            cut[1000 * (k + 1) + i] = share
+            rows.append((1000 * (k + 1) + i, " ".join(part)))
+    d = spark.createDataFrame([(i, t, "a") for i, t in rows], "doc_id bigint, text string, source string")
+    got = {r.doc_id for r in cut_documents(d, CutModel([])).where("by = 'alignment'").collect()}
+    assert got <= set(cut)
+    for share in sorted(set(cut.values())):
+        want = {i for i, s in cut.items() if s == share}
+        assert len(got & want) >= 0.95 * len(want), (share, len(got & want), len(want))
+
+
+def test_words_and_levels():
+    texts = ["", "One two-THREE 4", "今日はABC", "두토 말", "…"]
+    w = Words(texts)
+    assert w.count.tolist() == [0, 4, 4, 2, 0] and levels(13).tolist() == [5, 6, 8, 10, 12]
+    assert w.hash[0] == Words(["x ONE"]).hash[1] and len(set(w.hash.tolist())) == 10
+    text, level, keys = Words(["a b c d e f g h"] * 2 + ["a b c d"]).keys()
+    assert text.tolist() == [0, 0, 0, 1, 1, 1] and level.tolist() == [0, 1, 2] * 2 and (keys[:3] == keys[3:]).all()
+    again = Words(["a b c d e f x y z"]).keys()[2]
+    assert (again[:2] == keys[:2]).all() and not (again[2] == keys[2]).all()
+
+
 def test_partner_behind_longer_members_of_its_buckets(spark):
     rng = random.Random(8)
     head, tails = story(rng, 25), [story(rng, 2) for _ in range(30)]
