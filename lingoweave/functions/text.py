@@ -24,7 +24,8 @@ ONLY_CODES = r"^(?:[\s\\]*(?:\\F[A-Za-z]*\[[^\]]*\]|\\OC\[\d+\]|\\OO\[\d+\]|\\FS
 FORMAT = r"%[sdfox]"
 SPACED_TOKENS = [(r"\\(\w+)\s*\[\s*(.*?)\s*\]", r"\\$1[$2]"), (r"\\(\w+)\s*<\s*(.*?)\s*>", r"\\$1<$2>"), (r"%\s*(\d+)", "%$1"), (r"\\\s*([{}$!><^_\\])", r"\\$1")]
 UI_LITERALS = ["true", "false", "center", "left", "right", "top", "bottom"]
-ENUM_VALUES = ("true false hp mp tp attack damage custom normal left right up down center none auto on off all self target subject opponents opponentsunit actors actorsunit friend friendunit").split()
+ENUM_VALUES = ["true", "false", "hp", "mp", "tp", "attack", "damage", "custom", "normal", "left", "right", "up", "down", "center", "none", "auto", "on", "off",
+               "all", "self", "target", "subject", "opponents", "opponentsunit", "actors", "actorsunit", "friend", "friendunit"]
 ASSET = r"(?i)\.(png|jpg|jpeg|gif|bmp|ogg|mp3|wav|m4a|flac|json|js|csv|txt|xml|html)$"
 LETTER = r"[A-Za-z\x{3040}-\x{9fff}\x{ac00}-\x{d7ff}]"
 INTERNAL = r"(?i)^(?:subject|opponents|self|target|friend|actors|none|auto|normal|custom|left|right|up|down|center|all)(?:\s*#.*)?$"
@@ -288,6 +289,7 @@ REFUSALS = ["我无法", "我不能", "无法给", "i cannot", "i'm unable", "i
             "thinking about your request", "processing your request", "let me think", "let me process"]
 RETRY_AFTER = [(["524"], 60.0), (["429"], 10.0), (["503", "502", "500"], 5.0), (["timeout", "timed out", "connection", "truncated"], 15.0), (["not valid json", "expecting value"], 5.0),
                (["returned no choices", "returned empty", "returned no message"], 5.0), (["overloaded"], 30.0)]
+OWN_DELAY = r"['\"]retry_after['\"]\s*:\s*(\d+(?:\.\d+)?)"
 SPLIT = ["524", "truncated", "max_tokens", "not valid json", "expecting value", "finish_reason=length"]
 
 
@@ -302,7 +304,7 @@ def classify_error(message: Column) -> Column:
     """STRUCT<refusal, retry, delay, split> of a provider's error message."""
     low = F.lower(text(message))
     refusal = _any(low, REFUSALS)
-    own = F.regexp_extract(text(message), r"['\"]retry_after['\"]\s*:\s*(\d+(?:\.\d+)?)", 1)
+    own = F.regexp_extract(text(message), OWN_DELAY, 1)
     delay = F.when(refusal, F.lit(None)).when(own != "", own.cast("double"))
     for parts, seconds in RETRY_AFTER:
         delay = delay.when(_any(low, parts), seconds)

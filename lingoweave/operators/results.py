@@ -119,19 +119,25 @@ def diff(old: DataFrame, new: DataFrame, results: DataFrame, keys: list[str] = I
     ``unchanged``: same source and a translation that is not blank; ``changed``: another source (the old target in the status); ``new``: otherwise; ``removed``: translated
     before and no longer there. All three inputs have one row per (file, key), or other ``keys``.
     """
-    o = old.select(*keys, text(F.col("source")).alias("old_source"))
-    t = results.select(*keys, text(F.col("target")).alias("old_target"), F.col("source").alias("translated_source"))
     n = new.select(*keys, text(F.col("source")).alias("source"))
-    joined = n.join(o, keys, "left").join(t, keys, "left")
+    if results is old:  # the old texts carry their translations: one join does for all
+        o = old.select(*keys, text(F.col("source")).alias("old_source"), text(F.col("target")).alias("old_target"))
+        joined = n.join(o, keys, "full")
+    else:
+        o = old.select(*keys, text(F.col("source")).alias("old_source"))
+        t = results.select(*keys, text(F.col("target")).alias("old_target"), text(F.col("source")).alias("translated_source"))
+        joined = n.join(o, keys, "left").join(t, keys, "left")
     same = F.col("old_source").isNotNull() & (F.col("old_source") == F.col("source"))
     old_target = text(F.col("old_target"))
-    now = joined.select(
-        *keys, "source", F.when(same, old_target).otherwise("").alias("target"),
-        F.when(same & ~blank(old_target), "unchanged")
-        .when(F.col("old_source").isNotNull() & ~same, F.when(~blank(old_target), F.concat(F.lit("changed (was: "), F.substring(old_target, 1, 80), F.lit(")"))).otherwise("changed"))
-        .otherwise("new").alias("status"))
-    gone = t.join(n.select(*keys), keys, "left_anti").select(*keys, text(F.col("translated_source")).alias("source"), F.col("old_target").alias("target"), F.lit("removed").alias("status"))
-    return now.unionByName(gone)
+    status = (F.when(F.col("source").isNull(), "removed").when(same & ~blank(old_target), "unchanged")
+              .when(F.col("old_source").isNotNull() & ~same, F.when(~blank(old_target), F.concat(F.lit("changed (was: "), F.substring(old_target, 1, 80), F.lit(")"))).otherwise("changed"))
+              .otherwise("new"))
+    gone = F.col("source").isNull()
+    out = joined.select(*keys, F.coalesce("source", "old_source").alias("source"), F.when(same | gone, old_target).otherwise("").alias("target"), status.alias("status"))
+    if results is old:
+        return out
+    left = t.join(n.select(*keys), keys, "left_anti").select(*keys, F.col("translated_source").alias("source"), F.col("old_target").alias("target"), F.lit("removed").alias("status"))
+    return out.unionByName(left)
 
 
 # --- filters and reviews ----------------------------------------------------------------------------------------------
@@ -188,12 +194,20 @@ def merge_batch(review: DataFrame, batch: DataFrame) -> DataFrame:
     return review.join(b, ID, "left").withColumn("target", F.when(F.col("_new").isNotNull() & ~F.coalesce("manually_edited", F.lit(False)), F.col("_new")).otherwise(F.col("target"))).drop("_new")
 
 
-def next_warning(results: DataFrame, order: str = "ord") -> DataFrame:
-    """(file, ord, next): for every row the place of the next row of its file that has a warning, from the start again after the last; null without any."""
-    w = with_status(results).select("file", order, F.when(F.col("status") == "warn", F.col(order)).alias("_w"))
+def next_warning(results: DataFrame, order: str = "ord", block: int = 100_000) -> DataFrame:
+    """(file, ord, next): for every row the place of the next row of its file that has a warning, from the start again after the last; null without any.
+
+    A file may hold any share of the rows: it is cut into blocks of ``block`` places. Only the first warning of each block goes on to the blocks before it, so that no task sees more
+    than one block of rows, or one row per block of a file.
+    """
+    w = with_status(results).select("file", order, F.floor(F.col(order) / block).cast("bigint").alias("_k"), F.when(F.col("status") == "warn", F.col(order)).alias("_w"))
+    ahead = F.min("_w").over(Window.partitionBy("file", "_k").orderBy(order).rowsBetween(1, Window.unboundedFollowing))
+    first = w.groupBy("file", "_k").agg(F.min("_w").alias("_w"))
     by = Window.partitionBy("file")
-    ahead = F.min("_w").over(by.orderBy(order).rowsBetween(1, Window.unboundedFollowing))
-    return w.select("file", order, F.coalesce(ahead, F.min("_w").over(by)).alias("next"))
+    later = F.min("_w").over(by.orderBy("_k").rowsBetween(1, Window.unboundedFollowing))
+    first = first.select(F.col("file").alias("_f"), F.col("_k").alias("_b"), F.coalesce(later, F.min("_w").over(by)).alias("_later"))
+    inside = w.select("file", order, "_k", ahead.alias("_ahead"))
+    return inside.join(first, F.col("file").eqNullSafe(F.col("_f")) & (F.col("_k") == F.col("_b"))).select("file", order, F.coalesce("_ahead", "_later").alias("next"))
 
 
 # --- reports ----------------------------------------------------------------------------------------------------------

@@ -58,22 +58,35 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshot_changes(table(spark, d, "text_snapshots"), ["file", "key"], ["source", "target"])
 
 
+#: every value of the latest readable body of each file, with its path in two spellings, the nearest enclosing object and the names on the way down
+READABLE = r"d0 as (select file, body, loaded_at, delivery_no, regexp_replace(coalesce(body, ''), '^[ \t\r\n]*\x{feff}?[ \t\r\n]*|[ \t\r\n]+$', '', 'g') as b from game_files)"
+TREE = f"""{READABLE}, d1 as (select coalesce(file, chr(0)) as file, arg_max(b, {{'a': loaded_at, 'b': delivery_no}}) as b from d0 where json_valid(b) group by 1), t as (select d1.file, x.* from d1, json_tree(d1.b) x),
+v as (select file, id, type, atom, '' as name, '' as holder, '$' as path, '$' as plain, '$' as up, [] :: varchar[] as keys, 0 as depth from t where parent is null
+union all select t.file, t.id, t.type, t.atom, case when v.type = 'OBJECT' then t.key else '' end, v.name,
+concat(v.path, case when v.type = 'ARRAY' then concat('[', t.key, ']') when regexp_full_match(t.key, '[A-Za-z0-9_]+') then concat('.', t.key) else concat('[', chr(39), t.key, chr(39), ']') end),
+concat(v.plain, case when v.type = 'ARRAY' then concat('[', t.key, ']') else concat('.', t.key) end), case when v.type = 'OBJECT' then v.path else v.up end,
+case when v.type = 'OBJECT' then list_append(v.keys, t.key) else v.keys end, v.depth + 1 from v join t on t.file = v.file and t.parent = v.id),
+w as (select * replace (nullif(file, chr(0)) as file), atom ->> '$' as text from v),
+n as (select file, up as parent_path, path, case type when 'OBJECT' then 'object' else 'text' end as kind, case when type <> 'OBJECT' then text end as value, depth, plain, name, holder, keys
+from w where type = 'OBJECT' and depth > 0 or type = 'VARCHAR' and {strip_sql('text')} <> '')"""
+
+
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
     return flatten_json(latest_readable(table(spark, d, "game_files")), "body", ["file"])
 
 
-@query()
+@query(f"with recursive {TREE} select file, parent_path, path, kind from n")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return _nodes(spark, d).select("file", "parent_path", "path", "kind")
 
 
-@query()
+@query(f"with recursive {TREE} select file, path, parent_path, cast(depth as int) as depth from n where kind = 'object'")
 def p6_objects(spark: SparkSession, d: str) -> DataFrame:
     """The parent table: one row per object."""
     return _nodes(spark, d).where("kind = 'object'").select("file", "path", "parent_path", "depth")
 
 
-@query()
+@query(f"with recursive {TREE} select file, parent_path, path, value from n where kind = 'text'")
 def p6_texts(spark: SparkSession, d: str) -> DataFrame:
     """The child table: one row per text, linked to its object."""
     return _nodes(spark, d).where("kind = 'text'").select("file", "parent_path", "path", "value")
@@ -158,7 +171,15 @@ def memory_stream(spark: SparkSession, d: str) -> DataFrame:
 
 # --- groups -----------------------------------------------------------------------------------------------------------
 
-CATEGORY = "case " + " ".join(f"when context in ({quote_list(C.full(n))}) then '{k}'" for k, n in C.DEDUP_GROUPS.items()) + " " + " ".join(f"when starts_with(context, '{p}') then '{k}'" for p, k in C.PREFIXED_KINDS.items()) + " else context end"
+#: written out, so that the lists of the library are checked too
+CATEGORY = """case when context in ('rpg_maker_actors_name', 'rpg_maker_actors_nickname', 'rpg_maker_enemies_name', 'rpg_maker_skills_name', 'rpg_maker_items_name', 'rpg_maker_weapons_name', 'rpg_maker_armors_name',
+'rpg_maker_states_name', 'rpg_maker_classes_name', 'rpg_maker_map_display_name', 'rpg_maker_system_gameTitle', 'rpg_maker_system_currencyUnit', 'rpg_maker_speaker_name', 'rpg_maker_troops_name', 'rpg_maker_event_name',
+'rpg_maker_map_info_name', 'rpg_maker_common_event_name', 'rpg_maker_troop_name') then 'name'
+when context in ('rpg_maker_event_text', 'rpg_maker_map_dialogue', 'rpg_maker_map_comment', 'rpg_maker_comment') or regexp_full_match(context, 'rpg_maker_(skills_message[12]|states_message[1234])') then 'dialogue'
+when context in ('rpg_maker_choice', 'rpg_maker_map_choice', 'rpg_maker_map_choice_label') then 'choice' when context in ('rpg_maker_map_script_string', 'rpg_maker_script') then 'script'
+when regexp_full_match(context, 'rpg_maker_(skills|items|weapons|armors|states)_description') or context = 'rpg_maker_actors_profile' then 'description'
+when regexp_full_match(context, 'rpg_maker_terms_(basic|commands|params|messages)|rpg_maker_system_(elements|weaponTypes|armorTypes|equipTypes|skillTypes)') then 'ui'
+when starts_with(context, 'rpg_maker_plugin_ui_') then 'plugin_ui' when starts_with(context, 'rpg_maker_generic_') then 'generic' when starts_with(context, 'rpg_maker_plugin_param_') then 'plugin_param' else context end"""
 GROUPS = f"g as (select source, {CATEGORY} as category, min(ord) as first_ord, count(*) as members from e group by 1, 2)"
 
 
@@ -185,7 +206,16 @@ def dedup_categories(spark: SparkSession, d: str) -> DataFrame:
     return lens.entries(spark, d).groupBy("context", C.dedup_category(F.col("context")).alias("category")).agg(F.count(F.lit(1)).alias("entries"))
 
 
-HINT = "case when starts_with(context, 'rpg_maker_plugin_ui_') then 'plugin UI text' " + " ".join(f"when string_split(context, '_plugin_')[1] = 'rpg_maker_{n}' then '{h}'" for n, h in C.HINTS.items()) + " when contains(context, '_plugin_') then 'plugin text' else context end"
+HINT = """case when starts_with(context, 'rpg_maker_plugin_ui_') then 'plugin UI text' else coalesce(case string_split(context, '_plugin_')[1] when 'rpg_maker_event_text' then 'dialogue' when 'rpg_maker_choice' then 'choice option'
+when 'rpg_maker_map_display_name' then 'map name' when 'rpg_maker_skills_name' then 'skill name' when 'rpg_maker_skills_description' then 'skill description' when 'rpg_maker_skills_message1' then 'battle message'
+when 'rpg_maker_skills_message2' then 'battle message' when 'rpg_maker_items_name' then 'item name' when 'rpg_maker_items_description' then 'item description' when 'rpg_maker_weapons_name' then 'weapon name'
+when 'rpg_maker_weapons_description' then 'weapon description' when 'rpg_maker_armors_name' then 'armor name' when 'rpg_maker_armors_description' then 'armor description' when 'rpg_maker_actors_name' then 'actor name'
+when 'rpg_maker_actors_nickname' then 'actor nickname' when 'rpg_maker_actors_profile' then 'actor profile' when 'rpg_maker_enemies_name' then 'enemy name' when 'rpg_maker_states_name' then 'state name'
+when 'rpg_maker_states_description' then 'state description' when 'rpg_maker_classes_name' then 'class name' when 'rpg_maker_system_gameTitle' then 'game title' when 'rpg_maker_system_currencyUnit' then 'currency unit'
+when 'rpg_maker_terms_basic' then 'term' when 'rpg_maker_terms_commands' then 'command' when 'rpg_maker_terms_params' then 'parameter name' when 'rpg_maker_terms_messages' then 'system message'
+when 'rpg_maker_speaker_name' then 'speaker name' when 'rpg_maker_troops_name' then 'troop name' when 'rpg_maker_mz_plugin_text' then 'plugin text' when 'rpg_maker_system_elements' then 'element name'
+when 'rpg_maker_system_weaponTypes' then 'weapon type' when 'rpg_maker_system_armorTypes' then 'armor type' when 'rpg_maker_system_equipTypes' then 'equip type' when 'rpg_maker_system_skillTypes' then 'skill type' end,
+case when regexp_full_match(string_split(context, '_plugin_')[1], 'rpg_maker_states_message[1234]') then 'state message' when contains(context, '_plugin_') then 'plugin text' else context end) end"""
 
 
 @query(f"with {ENTRIES} select context, {HINT} as hint, count(*) as entries from e group by all")
@@ -459,32 +489,7 @@ def noun_messages(spark: SparkSession, d: str) -> DataFrame:
     return results.noun_messages(lens.results(spark, d))
 
 
-# --- comparison of two deliveries -------------------------------------------------------------------------------------
-
-def _two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    s = table(spark, d, "text_snapshots")
-    numbers = [r.snapshot_no for r in s.groupBy("snapshot_no").agg(F.min("taken_at").alias("t")).orderBy("t").limit(2).collect()]
-    old, new = (results.dedupe_last(s.where(F.col("snapshot_no") == n).select("file", "key", X.text(F.col("source")).alias("source"), X.text(F.col("target")).alias("target"), "ord")) for n in numbers)
-    return old, new, old
-
-
-DIFF = f"""o as (select snapshot_no, row_number() over (order by min(taken_at)) as n from text_snapshots group by 1),
-s as (select o.n, file, key, arg_max(coalesce(source, ''), ord) as source, arg_max(coalesce(target, ''), ord) as target from text_snapshots join o using (snapshot_no) where o.n <= 2 group by all),
-d as (select b.file, b.key, b.source, case when a.source = b.source then a.target else '' end as target,
-case when a.source = b.source and {strip_sql('a.target')} <> '' then 'unchanged' when a.source is not null and a.source <> b.source then case when {strip_sql('a.target')} <> '' then concat('changed (was: ', substr(a.target, 1, 80), ')') else 'changed' end else 'new' end as status
-from (select * from s where n = 2) b left join (select * from s where n = 1) a on a.file = b.file and a.key = b.key
-union all select a.file, a.key, a.source, a.target, 'removed' from (select * from s where n = 1) a where not exists (select 1 from s b where b.n = 2 and b.file = a.file and b.key = a.key))"""
-
-
-@query(f"with {DIFF} select * from d")
-def diff_rows(spark: SparkSession, d: str) -> DataFrame:
-    return results.diff(*_two(spark, d))
-
-
-@query(f"with {DIFF} select string_split(status, ' ')[1] as status, count(*) as rows from d group by 1")
-def diff_counts(spark: SparkSession, d: str) -> DataFrame:
-    return results.diff(*_two(spark, d)).groupBy(F.substring_index("status", " ", 1).alias("status")).agg(F.count(F.lit(1)).alias("rows"))
-
+# --- comparison of deliveries ----------------------------------------------------------------------------------------
 
 def _deliveries(spark: SparkSession, d: str) -> DataFrame:
     """The diff of every delivery with the one before it, in order of time."""
@@ -508,12 +513,12 @@ union all select a.snapshot_no, a.file, a.key, a.source, a.target, 'removed' fro
 
 
 @query(f"with {DELIVERIES} select * from d")
-def diff_deliveries(spark: SparkSession, d: str) -> DataFrame:
+def diff_rows(spark: SparkSession, d: str) -> DataFrame:
     return _deliveries(spark, d)
 
 
 @query(f"with {DELIVERIES} select snapshot_no, string_split(status, ' ')[1] as status, count(*) as rows from d group by all")
-def diff_delivery_counts(spark: SparkSession, d: str) -> DataFrame:
+def diff_counts(spark: SparkSession, d: str) -> DataFrame:
     return _deliveries(spark, d).groupBy("snapshot_no", F.substring_index("status", " ", 1).alias("status")).agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -594,12 +599,15 @@ def text_predicates(spark: SparkSession, d: str) -> DataFrame:
 _v, _bare = "v", "regexp_replace(v, '\\s*#[^\\n]+$', '')"
 
 
-@query(f"""with w as (select ord, unnest(string_split(coalesce(target, ''), ' ')) as x from results), v as (select ord, x, {strip_sql('x')} as v from w)
-select ord, x as word, count(*) as times from v where length(v) >= 2 and not regexp_matches(v, '^#[0-9a-fA-F]{{3,8}}$') and not regexp_matches(v, '^-?\\d+(\\.\\d+)?$') and not regexp_matches(v, '{X.ASSET}')
+TRANSLATABLE = f"""length(v) >= 2 and not regexp_matches(v, '^#[0-9a-fA-F]{{3,8}}$') and not regexp_matches(v, '^-?\\d+(\\.\\d+)?$') and not regexp_matches(v, '{X.ASSET}')
 and regexp_matches(v, '{X.LETTER}') and not regexp_matches({strip_sql(_bare)}, '{X.INTERNAL}') and lower(v) not in ({quote_list(X.ENUM_VALUES)}) and not regexp_matches({strip_sql(_bare)}, '{X.CODE_LIKE}')
 and not ((starts_with(v, '[') and ends_with(v, ']')) or (starts_with(v, '{{') and ends_with(v, '}}')) or (starts_with(v, '"') and ends_with(v, '"') and length(v) <= 40))
 and not (regexp_matches(v, '^[A-Za-z_][A-Za-z0-9_]*$') and length(v) <= 32 and regexp_matches(v, '[a-z][A-Z]|_'))
-and not (regexp_matches(v, '^[A-Za-z_][A-Za-z0-9_]*(/[A-Za-z_][A-Za-z0-9_]*)*$') and length(v) <= 40 and (regexp_matches(v, '[_/]') or not regexp_matches(v, '[A-Z]') and regexp_matches(v, '[a-z]'))) group by all""")
+and not (regexp_matches(v, '^[A-Za-z_][A-Za-z0-9_]*(/[A-Za-z_][A-Za-z0-9_]*)*$') and length(v) <= 40 and (regexp_matches(v, '[_/]') or not regexp_matches(v, '[A-Z]') and regexp_matches(v, '[a-z]')))"""
+
+
+@query(f"""with w as (select ord, unnest(string_split(coalesce(target, ''), ' ')) as x from results), v as (select ord, x, {strip_sql('x')} as v from w)
+select ord, x as word, count(*) as times from v where {TRANSLATABLE} group by all""")
 def text_heuristic(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "results").select("ord", F.explode(F.split(X.text(F.col("target")), " ", -1)).alias("word"))
     return words.where(X.looks_translatable(F.col("word"))).groupBy("ord", "word").agg(F.count(F.lit(1)).alias("times"))
@@ -624,15 +632,17 @@ def path_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "entries").select("ord", F.array_join(games.path_tokens(F.col("key")), "\x1f").alias("steps"))
 
 
-LANGS = ["English", "german", "vi", "Chinese", "Chinese (Traditional)", "XX", "Klingon"]
+LANGS = ["English", "german", "vi", "Chinese", "Chinese Traditional", "XX", "auto", "viet", " chinese simplified "]
 
 
-@query(f"""with l as (select event_id, ([{quote_list(LANGS)}])[event_id % 7 + 1] as name from events), m as (select *, lower(trim(name)) as low, case when regexp_matches(lower(trim(name)), '^[a-z]{{2}}$') then lower(trim(name)) else case lower(trim(name)) {' '.join(f"when '{k}' then '{v}'" for k, v in C.LANGUAGE_CODES.items())} end end as code from l)
-select event_id, code, case when low in ('chinese', 'chinese (simplified)', 'simplified chinese', 'zh') then 'zh-CN' when low in ('chinese (traditional)', 'traditional chinese') then 'zh-TW' else coalesce(code, name) end as folder from m""")
+@query(f"""with l as (select event_id, ([{quote_list(LANGS)}])[event_id % {len(LANGS)} + 1] as name from events)
+select event_id, case event_id % {len(LANGS)} when 0 then 'en' when 1 then 'de' when 2 then 'vi' when 3 then 'zh' when 5 then 'xx' when 6 then 'auto' when 7 then 'vi' end as code,
+case trim(name) when 'English' then 'en' when 'german' then 'de' when 'Chinese' then 'zh-CN' when 'chinese simplified' then 'zh-CN' when 'Chinese Traditional' then 'zh-TW' else name end as folder from l""")
 def language_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Codes (null for the two written forms of Chinese, which are no names of their own there) and folders of languages' names."""
     n = (F.col("event_id") % len(LANGS)).cast("int")
     m = table(spark, d, "events").select("event_id", F.get(F.array(*[F.lit(x) for x in LANGS]), n).alias("name"))
-    return m.select("event_id", C.language_code(F.col("name")).alias("code"), C.folder_language(F.col("name")).alias("folder"))
+    return m.select("event_id", F.when(~F.lower(F.trim("name")).isin("chinese traditional", "chinese simplified"), C.language_code(F.col("name"))).alias("code"), C.folder_language(F.col("name")).alias("folder"))
 
 
 LOG = ["Batch failed: x", "Quality warning key.1 bad", "Quality warning", "Saved 3", "Pre-dedup: 4", "Translated 5", "Retrying", "retry_after 3", "Error: x", "Starting up", "Stopped by user", "hello"]
@@ -731,18 +741,23 @@ def tree_extract(spark: SparkSession, d: str) -> DataFrame:
     return e.select("file", "key", "source", "context", F.array_join("sub_keys", "\x1f").alias("sub_keys"), "context_text")
 
 
-@query()
+@query(f"with {READABLE} select file, case when coalesce(body, '') = '' then 'empty file' else 'invalid JSON' end as warning from d0 where not json_valid(b)")
 def tree_warnings(spark: SparkSession, d: str) -> DataFrame:
     return json_tree.warnings(table(spark, d, "game_files"))
 
 
-@query()
+VALUE = strip_sql("value")
+UI_TEXT = f"length({VALUE}) >= 2 and not starts_with({VALUE}, '$') and not starts_with({VALUE}, '@') and not (starts_with({VALUE}, '#') and length({VALUE}) in (4, 7)) and {VALUE} not in ({quote_list(X.UI_LITERALS)})"
+
+
+@query(f"""with recursive {TREE} select file, plain as key, value as source, concat('rpg_maker_generic_', lower(regexp_extract(file, '([^/]+)\\.json$', 1))) as context from n
+where kind = 'text' and {UI_TEXT} and not list_has_any(keys, [{quote_list(json_tree.UI_SKIP_KEYS)}])""")
 def tree_generic(spark: SparkSession, d: str) -> DataFrame:
     nodes = json_tree.text_nodes(latest_readable(table(spark, d, "game_files")), ["file"])
     return json_tree.generic_entries(nodes, F.regexp_extract("file", r"([^/]+)\.json$", 1), ["file"]).select("file", "key", "source", "context")
 
 
-@query()
+@query(f"with recursive {TREE} select file, plain as key, value as source from n where kind = 'text' and name <> '' and length({VALUE}) > 1 and not contains(value, '/') and not contains(value, chr(92))")
 def tree_plain(spark: SparkSession, d: str) -> DataFrame:
     return json_tree.plain_entries(json_tree.text_nodes(latest_readable(table(spark, d, "game_files")), ["file"]), ["file"]).select("file", "key", "source")
 
@@ -752,7 +767,10 @@ def tree_contexts(spark: SparkSession, d: str) -> DataFrame:
     return json_tree.list_contexts(json_tree.commands(latest_readable(table(spark, d, "game_files")), ["file"]), ["file"])
 
 
-@query()
+@query(f"""with recursive {TREE}, c as (select coalesce(file, chr(0)) as f, regexp_replace(plain, '\\.code$', '') as at from w where text = '357' and regexp_matches(plain, '\\.list\\[\\d+\\]\\.code$')),
+a as (select n.file, n.plain as key, n.value as source, c.at, n.name as field, {strip_sql('n.value')} as v from n join c on c.f = coalesce(n.file, chr(0)) and n.plain = concat(c.at, '.parameters[3].', n.name) where n.name <> '' and lower(n.name) not in ({quote_list(json_tree.PLUGIN_SKIP_FIELDS)}))
+select a.file, a.key, a.source, concat_ws('_', 'rpg_maker_mz_plugin', coalesce(x.value, ''), coalesce(y.value, ''), a.field) as context from a left join n x on x.file is not distinct from a.file and x.plain = concat(a.at, '.parameters[0]')
+left join n y on y.file is not distinct from a.file and y.plain = concat(a.at, '.parameters[1]') where {TRANSLATABLE}""")
 def tree_plugin_arguments(spark: SparkSession, d: str) -> DataFrame:
     return json_tree.plugin_argument_entries(json_tree.commands(latest_readable(table(spark, d, "game_files")), ["file"]), ["file"]).select("file", "key", "source", "context")
 
@@ -791,7 +809,9 @@ def pipeline_offline(spark: SparkSession, d: str) -> DataFrame:
     return _run(spark, d).select("file", "key", "source", "target", "context", "origin")
 
 
-@query()
+@query(f"""with recursive {ENTRIES}, {BATCHES}, i as (select b.file, b.block, b.batch_no, b.ord, concat('{{"id":', to_json(concat_ws(chr(31), e.file, e.key)), case when e.key is null then '' else concat(',"key":', to_json(e.key)) end,
+',"source":', to_json(e.source), ',"hint":', to_json({HINT.replace('context', 'e.context')}), '}}') as item from b join e on e.ord = b.ord)
+select file, block, batch_no, concat('[', string_agg(item, ',' order by ord), ']') as payload from i group by all""")
 def prompt_payload(spark: SparkSession, d: str) -> DataFrame:
     e = lens.entries(spark, d)
     b = batching.char_batches(e).select("ord", "block", "batch_no")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import REFUSALS, RETRY_AFTER, SPLIT, text
+from ..functions.text import OWN_DELAY, REFUSALS, RETRY_AFTER, SPLIT, text
 
 
 class Provider(ABC):
@@ -45,6 +45,9 @@ def judge(message: str) -> tuple[bool, float, bool]:
     split = any(s in low for s in SPLIT)
     if any(r in low for r in REFUSALS):
         return False, 0.0, False
+    own = re.search(OWN_DELAY, message)
+    if own:
+        return True, float(own[1]), split
     for parts, seconds in RETRY_AFTER:
         if any(p in low for p in parts):
             return True, seconds, split

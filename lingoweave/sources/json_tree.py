@@ -8,69 +8,113 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_text, is_ui_text, looks_translatable, strip, text
-from ..operators.nested import _STRING, Index, _pieces
+from ..operators.nested import _ARRAY, _OBJECT, _SCALAR_K, _STRING, Index, _pieces
 from ..runtime import store
 
-# Text fields of the database files, arrays and terms of the system file, keys that never hold text.
+# Text fields of the database files, texts, arrays and terms of the system file.
 DATABASE_FIELDS = {
-    "Actors": "name nickname profile note", "Classes": "name note", "Skills": "name description message1 message2 note", "Items": "name description note",
-    "Weapons": "name description note", "Armors": "name description note", "Enemies": "name note", "States": "name description message1 message2 message3 message4 note",
-    "Animations": "name", "Tilesets": "name note",
+    "Actors": ["name", "nickname", "profile", "note"],
+    "Classes": ["name", "note"],
+    "Skills": ["name", "description", "message1", "message2", "note"],
+    "Items": ["name", "description", "note"],
+    "Weapons": ["name", "description", "note"],
+    "Armors": ["name", "description", "note"],
+    "Enemies": ["name", "note"],
+    "States": ["name", "description", "message1", "message2", "message3", "message4", "note"],
+    "Animations": ["name"],
+    "Tilesets": ["name", "note"],
 }
 SYSTEM_TEXTS = ["gameTitle", "currencyUnit"]
 SYSTEM_ARRAYS = ["armorTypes", "elements", "equipTypes", "skillTypes", "weaponTypes", "switches", "variables"]
 TERM_GROUPS = ["basic", "commands", "params", "messages"]
+# Members of interface files that hold text, and those below which nothing is text.
 UI_KEYS = ["text", "label", "title", "description", "placeholder", "tooltip"]
-NON_TEXT_KEYS = ["type", "id", "folderName", "imageName", "faceName", "characterName", "battlerName", "font", "alignment", "note", "filename", "image", "icon"]
+UI_SKIP_KEYS = [
+    "type", "id", "folderName", "imageName", "faceName", "faceIndex", "fillColor", "strokeColor", "textColor", "borderColor", "shadow", "outline", "font", "alignment",
+    "verticalCentered", "multiline", "fontSize", "corners", "strokeWidth", "fillAlpha", "borderThickness", "borderOpacity", "backgroundType", "itemsPadding", "maxCols",
+    "onPurchaseSE", "onMessageAddedSE", "messageBaseHeight", "messageExtraLineHeightAdd", "playScaleAnimation", "initialScale", "finalScale", "scaleChangeStep",
+    "clickAnimation", "showAppContentDelayMS", "scrollVerticalStep", "nextMessageWaitTimeInSeconds",
+]
+# Arguments of plugin commands that hold no text, by lower-case name.
+PLUGIN_SKIP_FIELDS = [
+    "filename", "file", "picture", "image", "icon", "bitmap", "se", "bgm", "bgs", "me", "audio", "color", "colour", "tint", "x", "y", "z", "width", "height", "opacity",
+    "blend", "duration", "speed", "volume", "pitch", "pan", "id", "code", "indent", "type", "switch", "variable", "actor", "enemy", "troop", "skill", "item", "weapon",
+    "armor", "animation", "balloon", "direction", "pattern", "condition", "trigger", "through", "hitboxtype", "hitboxtypetype", "subjecthitboxtype", "targethitboxtype",
+    "customhitboxtag", "targetcustomhitboxtag", "enabled", "enableordisable", "showorhide", "wait", "statustype", "hpgauge", "arpgmode", "characterspecification",
+    "subjectcharacterspecification", "targetcharacterspecification", "eventspecification", "isskillspecification", "skillobjectposition", "skillspecification",
+    "istargetspecification", "rotationdirection", "filterid", "filtertype", "graphic", "layer", "layergraphics", "eventtags", "value", "arg1", "arg2", "arg3", "mode",
+    "blendtype", "visible", "hitboxlist", "hitbox", "position", "textsettings", "windowsettings", "backgroundtype", "align", "textpadding", "fontsize", "backopacity",
+    "padding", "srceventidorname", "target", "leftuporcenter", "whenfixed", "whenbyvariables", "subject", "targetside", "targetcondition", "targetfiltertype",
+    "subjectcondition", "conditiontype", "conditionswitch", "switchno", "switchno2", "variableid", "variablevalue", "targettype", "subjecttype", "forcetype", "shopname",
+    "shopid", "stockid", "itemid", "itemid2", "windowbgimage", "buttonbgimage", "buttonfocusimage", "templateid", "positiontype", "darkness", "placeholder", "inputtype",
+    "defaultvalue", "tag", "category", "key", "nameid", "animationid", "animationtype", "effecttype", "switchid", "variablenumber", "canceltype", "iniposition",
+    "maxcols", "windowwidth", "itemheightadjust", "buttonimageadjustx", "buttonimageadjusty", "iconindex",
+]
+# Plugins that never show text, and for some commands of others the arguments that do; other arguments of these commands don't.
+PLUGINS_WITHOUT_TEXT = ["DirectivityShake", "FilterControllerMZ", "AnimationByPoint", "ITB_DisableKeyInputs", "PictureAnimation"]
+PLUGIN_FIELDS = {
+    ("NRP_BattleEventEXMZ", "forceSubject"): ["message"],
+    ("NRP_BattleEventEXMZ", "setConditionSwitch"): [],
+    ("NRP_BattleEventEXMZ", "forceTargetFilter"): [],
+    ("NRP_BattleEventEXMZ", "forceAction"): [],
+    ("NRP_BattleEventEXMZ", "clearForce"): [],
+    ("NRP_BattleEventEXMZ", "setBattleEventEX"): [],
+    ("TorigoyaMZ_NotifyMessage", "notify"): ["message"],
+    ("LL_GalgeChoiceWindow", "showChoice"): ["choices"],
+    ("MNKR_SupponShopStockMZ", "addItem"): [],
+    ("MNKR_SupponShopStockMZ", "openShop"): [],
+    ("MNKR_SupponShopStockMZ", "closeShop"): [],
+    ("MNKR_SupponShopStockMZ", "deleteShop"): [],
+    ("MNKR_SupponShopStockMZ", "makeShop"): [],
+    ("MPP_MapLight", "setDarkness"): [],
+    ("NovelGameUI", "addBackLog"): ["logTexts"],
+    ("111_InputForm", "show"): [],
+    ("PANDA_ExNumberInput", "SETUP_NUMBER_INPUT_WINDOW"): [],
+    ("DTextPicture", "dText"): ["text"],
+}
 
-NODE_FIELDS = "path string, parent_path string, name string, holder string, grand string, place int, depth int, keys array<string>, value string"
+NODE_FIELDS = "path string, parent_path string, name string, holder string, place int, depth int, keys array<string>, value string, event_name boolean, event_note boolean"
 COMMAND_FIELDS = "list_path string, pos int, code int, params int, p0 string, p1 string, p4 string, choices array<string>, strings array<string>, args map<string,string>, owner_id boolean, owner_name string, owner_note string, actor_id int"
 
 
 def text_nodes(df: DataFrame, ids: list[str], body: str = "body") -> DataFrame:
-    """(*ids, path, parent_path, name, holder, grand, place, depth, keys, value) of every non-blank text.
+    """(*ids, path, parent_path, name, holder, place, depth, keys, value, event_name, event_note) of every non-blank text.
 
-    ``name`` is the member name ('' in an array), ``holder`` the name of the container, ``grand`` that of the one above, ``keys`` all member names from the root.
+    ``name`` is the member name ('' in an array), ``holder`` the name of the container, ``keys`` all member names from the root. ``event_name`` and ``event_note``: the
+    text stands in an object whose name, or note, is that of an event.
     """
     chosen = df.select(*ids, body)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in _pieces(batches, body):
             index = Index(texts)
-            out: list[tuple] = []
-            names: list[str] = []
-            paths: list[str] = []
-            for i in range(len(index.doc)):
-                n = index.name[i]
-                own = index.string(index._pos[n], index._stop[n]) if n >= 0 else ""
-                up = index.parent[i]
-                names.append(own)
-                paths.append("$" if up < 0 else paths[up] + (f".{own}" if n >= 0 else f"[{index.place[i]}]"))
-                if index.kind[i] != _STRING:
-                    continue
-                value = index.string(index.start[i], index.stop[i])
-                if not value or value.isspace():
-                    continue
-                keys, at = [], i
-                while at >= 0:
-                    if names[at]:
-                        keys.append(names[at])
-                    at = index.parent[at]
-                above = index.parent[up] if up >= 0 else -1
-                out.append((int(index.doc[i]), paths[i], paths[up] if up >= 0 else "$", own, names[up] if up >= 0 else "", names[above] if above >= 0 else "", int(index.place[i]), int(index.level[i]), keys[::-1], value))
-            cols = list(zip(*out)) if out else [[]] * 10
-            take = pa.array(cols[0], pa.int64())
-            kinds = [pa.string()] * 5 + [pa.int32()] * 2 + [pa.list_(pa.string()), pa.string()]
-            yield pa.RecordBatch.from_arrays([*[rows.column(c).take(take) for c in ids], *[pa.array(c, k) for c, k in zip(cols[1:], kinds)]],
-                                             names=[*ids, "path", "parent_path", "name", "holder", "grand", "place", "depth", "keys", "value"])
+            paths = index.chained("$", ".{}".format, "[{}]".format)
+            keys = index.chained("", "{}\0".format, lambda _: "")
+            at, values = index.written()
+            up = index.parent[at]
+            numbered = index.having("id", {_SCALAR_K}, r"-?(?:0|[1-9][0-9]*)|true|false")
+            listed = index.having("list", {_ARRAY})
+            placed = np.any([index.having(n, {_STRING, _SCALAR_K, _OBJECT, _ARRAY}) for n in ("x", "y", "list")], axis=0)
+            event = numbered & index.having("pages", {_ARRAY}) & placed
+            noted = event | index.having("events", {_STRING, _SCALAR_K, _OBJECT, _ARRAY}) | index.having("data", {_STRING, _SCALAR_K, _OBJECT, _ARRAY})
+            above = lambda flags: pa.array(np.where(up >= 0, flags[np.maximum(up, 0)], False) if len(flags) else np.zeros(0, bool))
+            split = pc.split_pattern(keys.take(pa.array(at)), "\0")
+            parent = pc.if_else(pa.array(up >= 0), paths.take(pa.array(np.maximum(up, 0))), "$") if len(paths) else paths
+            yield pa.RecordBatch.from_arrays(
+                [*[rows.column(c).take(pa.array(index.doc[at], pa.int64())) for c in ids], paths.take(pa.array(at)), parent, index.member_names(at), index.member_names(up),
+                 pa.array(index.place[at], pa.int32()), pa.array(index.level[at], pa.int32()), split.cast(pa.list_(pa.string())), values, above(numbered & (event | listed)), above(noted)],
+                names=[*ids, *[f.split()[0] for f in NODE_FIELDS.split(", ")]])
 
     schema = ", ".join(f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in ids)
-    return chosen.mapInArrow(run, f"{schema}, {NODE_FIELDS}")
+    # each name ends in a mark, so that the last piece is empty
+    return chosen.mapInArrow(run, f"{schema}, {NODE_FIELDS}").withColumn("keys", F.slice("keys", F.lit(1), F.greatest(F.size("keys") - 1, F.lit(0))))
 
 
 def commands(df: DataFrame, ids: list[str], body: str = "body") -> DataFrame:
@@ -132,17 +176,34 @@ def _entry(key: Column, source: Column, context: Column | str, sub_keys: Column
             (sub_keys if sub_keys is not None else F.array().cast("array<string>")).alias("sub_keys")]
 
 
-def generic_entries(nodes: DataFrame, stem: Column, ids: list[str], skip: list[str] | None = None) -> DataFrame:
-    """Every text that could be read in an interface, but below keys that never hold text."""
-    skip = NON_TEXT_KEYS if skip is None else skip
-    clean = ~F.arrays_overlap("keys", F.array(*[F.lit(k) for k in skip])) if skip else F.lit(True)
-    return nodes.where(clean & is_ui_text(F.col("value"))).select(*ids, *_entry(F.col("path"), F.col("value"), F.concat(F.lit("rpg_maker_generic_"), stem)))
+def _below_no_text() -> Column:
+    """No member on the way down is one of those below which nothing is text."""
+    return ~F.arrays_overlap("keys", F.array(*[F.lit(k) for k in UI_SKIP_KEYS]))
+
+
+def generic_text() -> Column:
+    """Whether a text of an unknown file counts: one that an interface could show, but below members that never hold text."""
+    return _below_no_text() & is_ui_text(F.col("value"))
+
+
+def interface_context(folder: Column) -> Column:
+    """Context of a text of a plugin's interface file, null for what is none: members with a text name and texts in a list called ``text`` by their folder, texts in other
+    lists as ``custom``. Nothing below the other elements of a list called ``text`` counts."""
+    in_text_list = (F.col("name") == "") & (F.col("holder") == "text")
+    member = F.col("name").isin(UI_KEYS)
+    below = F.col("path").rlike(r"\.text\[\d+\][.\[]")
+    return F.when(_below_no_text() & ~below & is_ui_text(F.col("value")),
+                  F.when(member | in_text_list, F.concat(F.lit("rpg_maker_plugin_ui_"), folder)).when(F.col("name") == "", "rpg_maker_plugin_ui_custom"))
+
+
+def generic_entries(nodes: DataFrame, stem: Column, ids: list[str]) -> DataFrame:
+    """Every text of an unknown file that could be read in an interface, but below keys that never hold text."""
+    return nodes.where(generic_text()).select(*ids, *_entry(F.col("path"), F.col("value"), F.concat(F.lit("rpg_maker_generic_"), F.lower(stem))))
 
 
 def interface_entries(nodes: DataFrame, folder: Column, ids: list[str]) -> DataFrame:
-    """Texts of plugin interfaces: members with a text key, and texts inside arrays."""
-    hit = (F.col("name").isin(UI_KEYS) | (F.col("name") == "")) & is_ui_text(F.col("value"))
-    return nodes.where(hit).select(*ids, *_entry(F.col("path"), F.col("value"), F.concat(F.lit("rpg_maker_plugin_ui_"), folder)))
+    """Texts of plugin interfaces."""
+    return nodes.withColumn("_c", interface_context(folder)).where("_c is not null").select(*ids, *_entry(F.col("path"), F.col("value"), F.col("_c")))
 
 
 def plain_entries(nodes: DataFrame, ids: list[str]) -> DataFrame:
@@ -205,13 +266,18 @@ def dialogue_entries(cmds: DataFrame, ids: list[str]) -> DataFrame:
     return out.unionByName(rowwise.select(*ids, *_entry(F.col("x.k"), F.col("x.v"), F.col("x.c"))))
 
 
-def plugin_argument_entries(cmds: DataFrame, ids: list[str], skip: list[str] | None = None) -> DataFrame:
-    """Arguments of plugin commands that read like text (the other reading of command 357, by field)."""
+def plugin_argument_entries(cmds: DataFrame, ids: list[str]) -> DataFrame:
+    """Arguments of plugin commands that read like text (the other reading of command 357, by field).
+
+    Some plugins never show text, of some commands only certain arguments do; arguments of certain names never do.
+    """
     at = F.concat(F.col("list_path"), F.lit("["), F.col("pos").cast("string"), F.lit("]"))
-    each = cmds.where("code = 357 and args is not null").select(*ids, at.alias("at"), "p0", "p1", F.explode("args").alias("field", "v"))
-    skip = [x.lower() for x in (NON_TEXT_KEYS if skip is None else skip)]
-    each = each.where(~F.lower("field").isin(skip) & looks_translatable(F.col("v")))
-    return each.select(*ids, *_entry(F.concat(F.col("at"), F.lit(".parameters[3]."), F.col("field")), F.col("v"), F.concat_ws("_", F.lit("rpg_maker_mz_plugin"), text(F.col("p0")), text(F.col("p1")), F.col("field"))))
+    each = cmds.where("code = 357 and args is not null").select(*ids, at.alias("at"), text(F.col("p0")).alias("plugin"), text(F.col("p1")).alias("command"), F.explode("args").alias("field", "v"))
+    shown = F.create_map(*[x for (p, c), f in PLUGIN_FIELDS.items() for x in (F.lit(f"{p}\x1f{c}"), F.array(*map(F.lit, f)).cast("array<string>"))])
+    only = F.try_element_at(shown, F.concat_ws("\x1f", "plugin", "command"))
+    keep = ~F.col("plugin").isin(PLUGINS_WITHOUT_TEXT) & ~F.lower("field").isin(PLUGIN_SKIP_FIELDS) & (only.isNull() | F.array_contains(only, F.col("field")))
+    return each.where(keep & looks_translatable(F.col("v"))).select(
+        *ids, *_entry(F.concat(F.col("at"), F.lit(".parameters[3]."), F.col("field")), F.col("v"), F.concat_ws("_", F.lit("rpg_maker_mz_plugin"), "plugin", "command", "field")))
 
 
 def list_contexts(cmds: DataFrame, ids: list[str], most: int = 16) -> DataFrame:
@@ -235,29 +301,38 @@ def list_contexts(cmds: DataFrame, ids: list[str], most: int = 16) -> DataFrame:
 
 
 def extract(files: DataFrame, file: str = "file", body: str = "body") -> DataFrame:
-    """(file, key, source, context, sub_keys, context_text) of all texts of JSON files, by the rule of each file's name. Unreadable files give nothing; see ``warnings``."""
+    """(file, key, source, context, sub_keys, context_text) of all texts of JSON files, by the rule of each file's name; a number behind the name does not count.
+
+    Files right below the data folder: database, system, map and event files by their rules, all others every text that could be shown. Files in folders below it: the rules of interfaces,
+    those named like database or event files give nothing. Unreadable files give nothing; see ``warnings``. Plugin lists are read by ``sources.games.plugin_parameters``.
+    """
     ids = [file]
-    stem = F.regexp_extract(F.col(file), r"([^/\\]*?)(?:\d*)\.json$", 1)
+    known = [*DATABASE_FIELDS, "System", "CommonEvents", "Troops"]
+    below = F.col(file).rlike(r"(?:^|[/\\])data[/\\][^/\\]+[/\\].*\.json$")
+    whole = F.regexp_extract(F.col(file), r"([^/\\]*)\.json$", 1)
+    stem = F.regexp_extract(whole, r"^(.*?)\d*$", 1)
     folder = F.regexp_extract(F.col(file), r"([^/\\]+)[/\\][^/\\]+$", 1)
     # one pass over the nodes: the first rule that holds names the context
     n = text_nodes(files, ids, body).withColumn("_stem", stem)
     up, name, value, s = F.col("parent_path"), F.col("name"), F.col("value"), F.col("_stem")
-    fields = F.split(text(F.try_element_at(F.create_map(*[F.lit(x) for f, names in DATABASE_FIELDS.items() for x in (f, names)]), s)), " ")
-    element, event = up.rlike(r"^\$\[\d+\]$"), up.rlike(r"\.events\[\d+\]$")
+    fields = F.try_element_at(F.create_map(*[x for f, names in DATABASE_FIELDS.items() for x in (F.lit(f), F.array(*map(F.lit, names)))]), s)
+    element = up.rlike(r"^\$\[\d+\]$")
     prefix = F.lit("rpg_maker_")
-    is_event = s.isin("Map", "CommonEvents", "Troops")
+    is_event = (s.startswith("Map") & (s != "MapInfos")) | s.isin("CommonEvents", "Troops")
     shown = is_text(value)
+    outside = ~F.col("path").rlike(r"\.list\[")  # commands have rules of their own
     context = (
-        F.when(s.isin(list(DATABASE_FIELDS)), F.when(shown & F.array_contains(fields, name) & (element | (up == "$")), F.concat(prefix, F.lower(s), F.lit("_"), name)))
+        F.when(below, F.when(~(s.isin(known) | s.startswith("Map")), interface_context(folder)))
+        .when(s.isin(list(DATABASE_FIELDS)), F.when(shown & F.array_contains(fields, name) & (element | (up == "$")), F.concat(prefix, F.lower(s), F.lit("_"), name)))
         .when(s == "System", F.when(shown & (up == "$") & name.isin(SYSTEM_TEXTS), F.concat(prefix, F.lit("system_"), name))
               .when(shown & (name == "") & (F.size("keys") == 1) & F.col("holder").isin(SYSTEM_ARRAYS) & (F.col("depth") == 2), F.concat(prefix, F.lit("system_"), F.col("holder")))
               .when(shown & (F.get("keys", F.lit(0)) == "terms") & F.get("keys", F.lit(1)).isin(TERM_GROUPS), F.concat(prefix, F.array_join("keys", "_"))))
         .when(s == "MapInfos", F.when(shown & (name == "name") & element, "rpg_maker_map_name"))
-        .when(is_event, F.when(shown & (name == "displayName"), "rpg_maker_map_display_name").when(shown & (name == "name") & event, "rpg_maker_event_name")
-              .when(shown & (name == "note") & (event | (up == "$")), "rpg_maker_note").when(shown & (s == "Troops") & (name == "name") & element, "rpg_maker_troops_name"))
-        .when((name.isin(UI_KEYS) | (name == "")) & is_ui_text(value), F.concat(F.lit("rpg_maker_plugin_ui_"), folder)))
+        .when(is_event, F.when(shown & outside, F.when(name == "displayName", "rpg_maker_map_display_name").when((name == "name") & F.col("event_name"), "rpg_maker_event_name")
+              .when((name == "note") & F.col("event_note"), "rpg_maker_note").when((s == "Troops") & (name == "name") & element, "rpg_maker_troops_name")))
+        .when(generic_text(), F.concat(F.lit("rpg_maker_generic_"), F.lower(whole))))
     out = n.withColumn("_c", context).where("_c is not null").select(*ids, *_entry(F.col("path"), value, F.col("_c"))).withColumn("context_text", F.lit(""))
-    cmds = store(commands(files.where(stem.isin("Map", "CommonEvents", "Troops")), ids, body), "commands")
+    cmds = store(commands(files.withColumn("_stem", stem).where(~below & is_event), ids, body), "commands")
     events = dialogue_entries(cmds, ids)
     contexts = list_contexts(cmds, ids)
     events = events.withColumn("list_path", F.regexp_extract("key", r"^(.*\.list)\[\d+\]\.parameters", 1)).join(contexts, [*ids, "list_path"], "left")
@@ -269,5 +344,3 @@ def warnings(files: DataFrame, file: str = "file", body: str = "body") -> DataFr
     from ..operators.nested import mark_readable
 
     return mark_readable(files.select(file, body), body).where("not readable").select(file, F.when(text(F.col(body)) == "", "empty file").otherwise("invalid JSON").alias("warning"))
-
-

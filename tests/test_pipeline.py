@@ -31,6 +31,10 @@ def test_retry_split_refuse():
         make_provider("nobody")
 
 
+def test_delay_named_by_the_provider():
+    assert provider.judge("quota, 'retry_after': 42") == (True, 42.0, False) and provider.judge("I cannot, 'retry_after': 42") == (False, 0.0, False)
+
+
 def test_parse_answers():
     good, skipped = parse_answers('```json\n[{"id": "1", "target": "x"}, {"key": "k"}, 3, {"key": "k", "target": ""}]\n```')
     assert len(good) == 2 and skipped == 2

@@ -85,3 +85,30 @@ def test_manual_edits_win(spark):
     review = spark.createDataFrame([("a", "1", "mine", True), ("a", "2", "old", None), ("a", "3", "old", False)], "file string, key string, target string, manually_edited boolean")
     batch = spark.createDataFrame([("a", "1", "n"), ("a", "2", "n")], "file string, key string, target string")
     assert {(r.key, r.target) for r in results.merge_batch(review, batch).collect()} == {("1", "mine"), ("2", "n"), ("3", "old")}
+
+
+def test_next_warning_over_blocks(spark):
+    rows = [("f", str(i), "a\nb", "x" if i in (3, 250, 251) else "x\ny", "", i) for i in range(0, 400)] + [("g", "1", "a", "b", "", 7), (None, "1", "a\nb", "x", "", 8)]
+    df = spark.createDataFrame(rows, "file string, key string, source string, target string, context string, ord bigint")
+    got = {(r.file, r.ord): r.next for r in results.next_warning(df, block=50).collect()}
+    warned = [3, 250, 251]
+    assert len(got) == 402 and got[("g", 7)] is None and got[(None, 8)] == 8
+    assert all(got[("f", i)] == min((w for w in warned if w > i), default=3) for i in range(400))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import pytest
+
+    from lingoweave.runtime import shared_dir
+
+    class Conf(dict):
+        def get(self, k, default=None):
+            return dict.get(self, k, default)
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        shared_dir(Session())
+    Session.conf["spark.checkpoint.dir"] = "hdfs://x/y/"
+    assert shared_dir(Session()) == "hdfs://x/y"

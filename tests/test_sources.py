@@ -121,3 +121,26 @@ def test_csv_keeps_more_than_a_thousand_extra_columns(spark, tmp_path):
     csv_store.write_results(df, str(tmp_path / "r"))
     header = next((tmp_path / "r").glob("part-*")).read_text(encoding="utf-8").split("\n")[0].split(",")
     assert len(header) == 1001 + len(csv_store.RESULT_COLUMNS)
+
+
+def test_files_of_unknown_names_and_interface_folders(spark):
+    f = spark.createDataFrame([
+        ("g/data/Custom.json", json.dumps({"anything": "Hello you", "font": {"face": "Not this"}, "list": ["One more"], "a": "x"})),
+        ("g/data/ui/Panel7.json", json.dumps({"label": "Save game", "other": "no text name", "text": ["Line one", {"label": "skipped"}], "rows": ["In a list"], "outline": {"label": "skipped"}})),
+        ("g/data/ui/Map001.json", json.dumps({"label": "named like a map"})),
+        ("g/data/CommonEvents.json", json.dumps([None, {"id": 1, "name": "Opening", "list": [CMD(401, "Hi"), {"code": 0, "name": "no"}]}, {"id": 2, "name": "No list"}])),
+        ("g/data/Troops.json", json.dumps([None, {"id": 1, "name": "Bats", "pages": [{"list": [CMD(401, "Squeak")]}]}]))], "file string, body string")
+    got = {(r.file[7:], r.key, r.context) for r in json_tree.extract(f).collect()}
+    assert got == {
+        ("Custom.json", "$.anything", "rpg_maker_generic_custom"), ("Custom.json", "$.list[0]", "rpg_maker_generic_custom"),
+        ("ui/Panel7.json", "$.label", "rpg_maker_plugin_ui_ui"), ("ui/Panel7.json", "$.text[0]", "rpg_maker_plugin_ui_ui"), ("ui/Panel7.json", "$.rows[0]", "rpg_maker_plugin_ui_custom"),
+        ("CommonEvents.json", "$[1].name", "rpg_maker_event_name"), ("CommonEvents.json", "$[1].list[0].parameters[0]", "rpg_maker_event_text"),
+        ("Troops.json", "$[1].name", "rpg_maker_troops_name"), ("Troops.json", "$[1].pages[0].list[0].parameters[0]", "rpg_maker_event_text")}
+
+
+def test_arguments_of_plugin_commands(spark):
+    calls = [CMD(357, "PictureAnimation", "x", "", {"text": "Read me now"}), CMD(357, "DTextPicture", "dText", "", {"text": "Shown here", "other": "Never shown"}), CMD(357, "DTextPicture", "else", "", {"other": "Shown too"}),
+             CMD(357, "Any", "go", "", {"animationId": "Big fire", "shopName": "The shop", "Message": "Come in, all"}), CMD(357, "111_InputForm", "show", "", {"message": "Your name, please"})]
+    cmds = json_tree.commands(files(spark, Map001={"list": calls}), ["file"])
+    assert {(r.source, r.context) for r in json_tree.plugin_argument_entries(cmds, ["file"]).collect()} == {
+        ("Shown here", "rpg_maker_mz_plugin_DTextPicture_dText_text"), ("Shown too", "rpg_maker_mz_plugin_DTextPicture_else_other"), ("Come in, all", "rpg_maker_mz_plugin_Any_go_Message")}

@@ -85,3 +85,16 @@ def test_contexts(spark):
     assert cat("rpg_maker_choice") == "choice" and cat("rpg_maker_plugin_ui_X") == "plugin_ui" and cat("other") == "other"
     hint = lambda t: one(spark, lambda c: C.context_hint(c["t"]), t=t)
     assert hint("rpg_maker_items_name") == "item name" and hint("rpg_maker_plugin_ui_A") == "plugin UI text" and hint("x_plugin_y") == "plugin text" and hint("x") == "x"
+
+
+def test_language_names(spark):
+    import pytest
+
+    from lingoweave.functions import contexts as C
+
+    rows = spark.createDataFrame([(x,) for x in ("auto", "Viet", " German ", "zh", "xx", "", None)], "n string")
+    assert [r.c for r in rows.select(C.language_code(F.col("n")).alias("c")).collect()] == ["auto", "vi", "de", "zh", "xx", "auto", "auto"]
+    with pytest.raises(Exception, match="unknown language"):
+        spark.createDataFrame([("Klingon",)], "n string").select(C.language_code(F.col("n"))).collect()
+    rows = spark.createDataFrame([(x,) for x in ("Chinese Simplified", "chinese traditional", "Chinese", "zh", "zh-TW", " French ")], "n string")
+    assert [r.c for r in rows.select(C.folder_language(F.col("n")).alias("c")).collect()] == ["zh-CN", "zh-TW", "zh-CN", "zh", "zh-TW", "fr"]
