@@ -8,12 +8,14 @@ positions, member names and parents all follow from neighbouring items.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,7 +67,7 @@ class Index:
         size = np.fromiter((len(t) + 1 for t in self.texts), np.int64, n)
         self.buffer, end = buffer, np.cumsum(size)
         begin = end - size
-        b = np.frombuffer(buffer, np.uint8)
+        self._bytes = b = np.frombuffer(buffer, np.uint8)
         at = np.repeat(np.arange(n, dtype=np.int32), size)  # text of each byte
         bad = np.zeros(n, bool)
 
@@ -124,9 +126,12 @@ class Index:
             stop[at_string] = np.where(k < len(closing), closing[np.minimum(k, len(closing) - 1)], pos[at_string])
         scalar = scalar_start[pos]
         stop[scalar] = np.flatnonzero(scalar_end) + 1
-        for i in np.flatnonzero(scalar):
-            if not _SCALAR.fullmatch(buffer, pos[i], stop[i]):
-                bad[token_doc[i]] = True
+        # each different scalar is looked at once
+        some = np.flatnonzero(scalar)
+        spelled = self._raw(pos[some], stop[some]).dictionary_encode()
+        right = np.array([bool(_SCALAR.fullmatch(x)) for x in spelled.dictionary.to_pylist()], bool)
+        if not right.all():
+            bad[token_doc[some[~right[spelled.indices.to_numpy()]]]] = True
 
         # items: each token on the level of its container; an opening bracket is an item on both levels
         kind = np.select([is_open & (c == 123), is_open, is_close, string, scalar, c == 44], [_OBJECT, _ARRAY, _CLOSE, _STRING, _SCALAR_K, _COMMA], _COLON)
@@ -175,69 +180,145 @@ class Index:
         self.place, self.name = place[v], name[v]
         self._pos, self._stop, self.level = pos, stop, level[v]
 
-    def string(self, start: int, stop: int) -> str:
-        """The decoded string whose opening and closing quotes are at these bytes; a lone surrogate becomes U+FFFD."""
-        raw = self.buffer[start + 1:stop]
-        if b"\\" not in raw:
-            return raw.decode("utf-8", "replace")
-        text = json.loads(b'"' + raw + b'"')
+    def _raw(self, start: np.ndarray, stop: np.ndarray) -> pa.BinaryArray:
+        """The bytes of stretches."""
+        size = stop - start
+        last = np.cumsum(size)
+        at = np.repeat(start - last + size, size) + np.arange(int(size.sum()))
+        offsets = np.concatenate([[0], last]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(self._bytes[at].tobytes())])
+
+    @staticmethod
+    def _decoded(raw: pa.BinaryArray) -> pa.StringArray:
+        """Strings from what stands between their quotes; a lone surrogate or a broken byte becomes U+FFFD."""
+        if not len(raw):
+            return pa.array([], pa.string())
         try:
-            text.encode()
-        except UnicodeEncodeError:
-            text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-        return text
-
-    def nodes(self) -> dict[str, list]:
-        """Objects below the root and non-blank texts, with path, nearest enclosing object and the value of texts.
-
-        Of several members of one name in an object the last counts, as in usual parsers.
-        """
-        n = len(self.doc)
-        path = np.empty(n, object)
-        holder = np.empty(n, object)  # path of the nearest enclosing object, or $
-        dead = np.zeros(n, bool)
-        names: dict[bytes, str] = {}
-        step = np.empty(n, object)
-        seen: dict[tuple[int, str], int] = {}
-        for i in range(n):
-            if self.name[i] >= 0:
-                s, e = self._pos[self.name[i]], self._stop[self.name[i]]
-                raw = self.buffer[s:e]
-                name = names.get(raw)
-                if name is None:
-                    text = self.string(s, e)
-                    name = names[raw] = "." + text if _PLAIN_NAME.fullmatch(text) else f"['{text}']"
-                step[i] = name
-                key = (self.parent[i], name)
-                if key in seen:
-                    dead[seen[key]] = True
-                seen[key] = i
-            else:
-                step[i] = f"[{self.place[i]}]"
-        for depth in range(int(self.level.max()) + 1 if n else 0):
-            at = np.flatnonzero(self.level == depth)
+            plain = raw.cast(pa.string())
+        except pa.ArrowInvalid:
+            plain = pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+        escaped = np.flatnonzero(pc.match_substring(plain, "\\").to_numpy(zero_copy_only=False))
+        if not len(escaped):
+            return plain
+        texts = json.loads('["' + '","'.join(plain.take(pa.array(escaped)).to_pylist()) + '"]')
+        try:
+            found = pa.array(texts, pa.string())
+        except (UnicodeEncodeError, pa.ArrowInvalid):
+            found = pa.array([x.encode("utf-16", "surrogatepass").decode("utf-16", "replace") for x in texts], pa.string())
+        at = np.arange(len(plain))
+        at[escaped] = len(plain) + np.arange(len(escaped))
+        return pa.concat_arrays([plain, found]).take(pa.array(at))
+
+    def strings(self, which: np.ndarray) -> pa.StringArray:
+        """The string values with these numbers."""
+        return self._decoded(self._raw(self.start[which] + 1, self.stop[which]))
+
+    @functools.cached_property
+    def _names(self) -> tuple[np.ndarray, pa.StringArray]:
+        """For each value the number of its member name, -1 in an array; and the different names."""
+        some = np.flatnonzero(self.name >= 0)
+        code = np.full(len(self.doc), -1, np.int64)
+        item = self.name[some]
+        spelled = self._raw(self._pos[item] + 1, self._stop[item]).dictionary_encode()
+        names = self._decoded(spelled.dictionary).dictionary_encode()  # a name may be spelled with escapes
+        if len(some):
+            code[some] = names.indices.to_numpy()[spelled.indices.to_numpy()]
+        return code, names.dictionary
+
+    @functools.cached_property
+    def alive(self) -> np.ndarray:
+        """Which values count: of several members of one name in an object the last does, as in usual parsers, with all below it."""
+        code, names = self._names
+        alive = np.ones(len(code), bool)
+        some = np.flatnonzero(code >= 0)[::-1]
+        _, first = np.unique(self.parent[some] * max(1, len(names)) + code[some], return_index=True)
+        alive[some] = False
+        alive[some[first]] = True
+        for at in self._by_level[1:]:
+            alive[at] &= alive[self.parent[at]]
+        return alive
+
+    @functools.cached_property
+    def _by_level(self) -> list[np.ndarray]:
+        order = np.argsort(self.level, kind="stable")
+        edges = np.searchsorted(self.level[order], np.arange(int(self.level.max()) + 2 if len(order) else 1))
+        return [order[a:b] for a, b in zip(edges, edges[1:])]
+
+    def chained(self, root: str, member: Callable[[str], str], place: Callable[[int], str]) -> pa.StringArray:
+        """For each value the steps from the root down to it, joined: ``root``, then ``member`` of each name and ``place`` of each position."""
+        code, names = self._names
+        positions, where = np.unique(self.place, return_inverse=True)
+        steps = pa.array([*map(member, names.to_pylist()), *[place(int(p)) for p in positions]], pa.string())
+        step = np.where(code >= 0, code, len(names) + where)
+        inside = np.zeros(len(code), np.int64)  # place of each value within its level
+        out: list[pa.StringArray] = []
+        for depth, at in enumerate(self._by_level):
+            inside[at] = np.arange(len(at))
             if depth == 0:
-                path[at], holder[at] = "$", "$"
-                continue
+                out.append(pa.array([root] * len(at), pa.string()))
+            else:
+                up = out[-1].take(pa.array(inside[self.parent[at]]))
+                out.append(pc.binary_join_element_wise(up, steps.take(pa.array(step[at])), ""))
+        if not out:
+            return pa.array([], pa.string())
+        back = np.empty(len(code), np.int64)
+        back[np.concatenate(self._by_level)] = np.arange(len(code))
+        return pa.concat_arrays(out).take(pa.array(back))
+
+    def member_names(self, which: np.ndarray) -> pa.StringArray:
+        """The member names of the values with these numbers; '' in an array, at the root and for -1."""
+        code, names = self._names
+        code = np.where(which >= 0, code[np.maximum(which, 0)], -1) if len(code) else np.full(len(which), -1)
+        return pa.concat_arrays([names, pa.array([""], pa.string())]).take(pa.array(np.where(code >= 0, code, len(names))))
+
+    def having(self, name: str, kinds: set[int], pattern: str | None = None) -> np.ndarray:
+        """For each value whether it is an object with a member of that name and kind (for scalars: spelled like the pattern)."""
+        out = np.zeros(len(self.doc), bool)
+        code, names = self._names
+        at = np.flatnonzero(self.alive & np.isin(code, [i for i, x in enumerate(names.to_pylist()) if x == name]) & np.isin(self.kind, list(kinds)))
+        if pattern is not None and len(at):
+            spelled = self._raw(self.start[at], self.stop[at]).dictionary_encode()
+            right = np.array([bool(re.fullmatch(pattern.encode(), x)) for x in spelled.dictionary.to_pylist()], bool)
+            at = at[right[spelled.indices.to_numpy()]]
+        out[self.parent[at]] = True
+        return out
+
+    @functools.cached_property
+    def enclosing(self) -> np.ndarray:
+        """Number of the nearest enclosing object of each value, -1 for none."""
+        out = np.full(len(self.doc), -1, np.int64)
+        for at in self._by_level[1:]:
             up = self.parent[at]
-            path[at] = path[up] + step[at]
-            holder[at] = np.where(self.kind[up] == _OBJECT, path[up], holder[up])
-            dead[at] |= dead[up]
-        out: dict[str, list] = {"doc": [], "parent_path": [], "path": [], "kind": [], "value": [], "depth": []}
-        for i in np.flatnonzero(~dead & ((self.kind == _OBJECT) & (self.level > 0) | (self.kind == _STRING))):
-            text = None
-            if self.kind[i] == _STRING:
-                text = self.string(self.start[i], self.stop[i])
-                if not text or text.isspace():
-                    continue
-            out["doc"].append(self.doc[i])
-            out["parent_path"].append(holder[i])
-            out["path"].append(path[i])
-            out["kind"].append("object" if text is None else "text")
-            out["value"].append(text)
-            out["depth"].append(int(self.level[i]))
+            out[at] = np.where(self.kind[up] == _OBJECT, up, out[up])
         return out
 
+    def written(self) -> tuple[np.ndarray, pa.StringArray]:
+        """Numbers and values of the strings that are not blank."""
+        at = np.flatnonzero(self.alive & (self.kind == _STRING))
+        values = self.strings(at)
+        # blank ones begin with a blank: only those are looked at one by one
+        doubtful = np.flatnonzero(pc.match_substring_regex(values, r"^(?:$|[\s\x1c-\x1f\x85\p{Z}])").to_numpy(zero_copy_only=False))
+        keep = np.ones(len(at), bool)
+        keep[doubtful] = [bool(x) and not x.isspace() for x in values.take(pa.array(doubtful)).to_pylist()]
+        return at[keep], values.filter(pa.array(keep))
+
+    def nodes(self) -> dict[str, list]:
+        """``node_columns`` as lists."""
+        return {k: v.to_pylist() for k, v in self.node_columns().items()}
+
+    def node_columns(self) -> dict[str, pa.Array]:
+        """Objects below the root and non-blank texts, with path, nearest enclosing object and the value of texts."""
+        path = self.chained("$", lambda x: "." + x if _PLAIN_NAME.fullmatch(x) else f"['{x}']", "[{}]".format)
+        text, values = self.written()
+        objects = np.flatnonzero(self.alive & (self.kind == _OBJECT) & (self.level > 0))
+        at = np.concatenate([objects, text])
+        holder = self.enclosing[at]
+        parent = path.take(pa.array(np.maximum(holder, 0))) if len(path) else path
+        parent = pc.if_else(pa.array(holder >= 0), parent, "$")
+        kind = pa.array(["object"] * len(objects) + ["text"] * len(text), pa.string())
+        return {"doc": pa.array(self.doc[at], pa.int64()), "parent_path": parent, "path": path.take(pa.array(at)), "kind": kind,
+                "value": pa.concat_arrays([pa.nulls(len(objects), pa.string()), values]), "depth": pa.array(self.level[at], pa.int32())}
+
 
 def _pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with at most ``limit`` bytes of text, or one row."""
@@ -278,11 +359,9 @@ def flatten_json(df: DataFrame, body: str, ids: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in _pieces(batches, body):
-            found = Index(texts).nodes()
-            take = pa.array(found.pop("doc"), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*[rows.column(i).take(take) for i in ids], *[pa.array(found[f.name], pa.int32() if f.name == "depth" else pa.string()) for f in out]],
-                names=[*ids, *[f.name for f in out]])
+            found = Index(texts).node_columns()
+            take = found.pop("doc")
+            yield pa.RecordBatch.from_arrays([*[rows.column(i).take(take) for i in ids], *[found[f.name] for f in out]], names=[*ids, *[f.name for f in out]])
 
     return chosen.mapInArrow(run, T.StructType([*fields, *out]))
 
