@@ -12,7 +12,7 @@ from .copies import entry_copies
 from .cuts import cut_documents, cuts_by_source, train_cut_model
 from .encoding import both_texts, garbled_texts, train_encoding_model
 from .labels import text_languages, train_label_models, wrong_labels
-from .leaks import leaked_items
+from .leaks import leaked_items, unbroken_passages
 from .mixing import Mixture
 from .packing import fill_requests, fill_summary
 from .pairs import defective_pairs, train_pair_model
@@ -65,19 +65,23 @@ def p7_restored(spark: SparkSession, d: str) -> DataFrame:
     return _garbled(spark, d).select("table_name", "ord", "text", "restored", "complete", "chain")
 
 
+def _unbroken(spark: SparkSession, d: str) -> DataFrame:
+    """Passages as the case is stated: 40 % of the item whatever its length, in one piece."""
+    return unbroken_passages(leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), shortest=1))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+    return _unbroken(spark, d).select("doc_id", "item_id").distinct()
 
 
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
-    """Every item that leaked, with its documents and the largest share of it found."""
-    hits = leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
-    return hits.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.round(F.max("share"), 4).alias("largest_share"))
+    """Every item that leaked, with its documents and the letters of the longest stretch."""
+    return _unbroken(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("unbroken").alias("longest"))
 
 
 def p8_near(spark: SparkSession, d: str) -> DataFrame:
     """Passages with up to two edits."""
-    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), edits=2).select("doc_id", "item_id", "matched", "item_length")
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), edits=2).select("doc_id", "item_id", "matched", "item_length", "unbroken")
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -114,8 +118,21 @@ g as (select ord, min(ord) over (partition by t, f) as first_ord, count(*) over
 """
 
 
+#: stretches of an item with the letters that are needed meet the documents by their first 16 letters, then in full
+_LEAKS = r"""
+with d as (select doc_id, regexp_replace(lower(replace(upper(text), 'ẞ', 'SS')), '[^\p{L}\p{N}]+', '', 'g') as t from documents),
+i0 as (select item_id, regexp_replace(lower(replace(upper(text), 'ẞ', 'SS')), '[^\p{L}\p{N}]+', '', 'g') as t from eval_items),
+i as (select item_id, t, length(t) as n, greatest(1, cast(ceil(0.4 * length(t) - 1e-9) as bigint)) as need from i0 where t <> ''),
+w as (select item_id, n, substr(t, p, need) as s, substr(t, p, least(16, need)) as g from (select *, unnest(range(1, n - need + 2)) as p from i)),
+l as (select distinct length(g) as k from w),
+a as (select distinct doc_id, t, substr(t, p, k) as g from (select doc_id, t, k, unnest(range(1, length(t) - k + 2)) as p from d, l)),
+h as (select distinct doc_id, item_id from a join w using (g) where contains(a.t, w.s))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p8_found": _LEAKS + "select doc_id, item_id from h",
         "p4_found": _CANONICAL + "select first_ord, ord as copy_ord from g where ord <> first_ord",
         "p4_records": _CANONICAL + "select first_ord, copies from g where ord = first_ord",
     }

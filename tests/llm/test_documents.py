@@ -39,6 +39,76 @@ def test_passages_with_edits():
     assert {(t, i) for t, i, *_ in ItemIndex([(7, item)], edits=2).search(docs)} == {(0, 7)}
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(st.sampled_from("ab"), min_size=1, max_size=24), st.text(st.sampled_from("ab"), max_size=30), st.integers(1, 2))
+def test_edited_passages_equal_brute_force(item, doc, edits):
+    """Any stretch of the item with enough letters that lies in the document with at most so many edits, by edit distance over all pairs of stretches."""
+    need = math.ceil(0.4 * len(item) - 1e-9)
+
+    def found():
+        for a in range(len(item) - need + 1):
+            for b in range(len(doc)):
+                row = {b: 0}  # end in the document -> edits, for the item up to i
+                row = {b + j: j for j in range(edits + 1) if b + j <= len(doc)}
+                for c in item[a:a + need]:
+                    new = {}
+                    for j, e in row.items():
+                        for k, cost in ((j + 1, doc[j] != c) if j < len(doc) else (j, 9), (j, 1)):
+                            if e + cost <= edits:
+                                new[k] = min(new.get(k, 9), e + cost)
+                    for j in sorted(new):
+                        if j < len(doc) and new[j] < edits:
+                            new[j + 1] = min(new.get(j + 1, 9), new[j] + 1)
+                    row = new
+                if row:
+                    return True
+        return False
+
+    hit = bool(ItemIndex([(7, item)], edits=edits).search([doc]))
+    if need > 4 * (edits + 1):  # shorter passages may end in an edit, which is no letter of the item
+        assert hit or not found() or need <= 4 * (edits + 1)
+    if hit:
+        assert found()
+
+
+def test_many_edited_passages_are_found():
+    """300 passages of 40 to 100 per cent of an item, each with two edits of any kind within."""
+    rng = random.Random(13)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    items = [(i, text(rng.randrange(60, 400))) for i in range(300)]
+    docs = []
+    for _, item in items:
+        n = rng.randrange(math.ceil(0.4 * len(item)) + 2, len(item) + 1)
+        a = rng.randrange(len(item) - n + 1)
+        part = list(item[a:a + n])
+        for _ in range(2):
+            j = rng.randrange(4, len(part) - 4)
+            part[j:j + 1] = rng.choice([[], [part[j], "#"], ["#"]])
+        docs.append(text(rng.randrange(200)) + "".join(part) + text(rng.randrange(200)))
+    index = ItemIndex(items, edits=2)
+    got = {(t, i) for t, i, *_ in index.search(docs)}
+    assert sum((k, k) in got for k in range(300)) == 300 and len(got) == 300
+    assert len(ItemIndex(items, edits=0).search(docs)) < 250
+
+
+def test_common_beginnings_and_short_items(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    head = word(60)
+    items = [(i, head + word(300)) for i in range(100)]
+    docs = [head + word(100), items[3][1][40:260], word(50) + items[7][1]]
+    for edits in (0, 1):
+        index = ItemIndex(items, edits=edits)
+        assert {(t, i) for t, i, *_ in index.search(docs)} == {(1, 3), (2, 7)}
+        assert max(count.max() for _, _, _, count, *_ in index.tables) <= 32  # the common beginning is left out
+    same = [(i, head) for i in range(100)]
+    assert len(ItemIndex(same, edits=1).search([head])) == 100  # but not where there is nothing else
+    d = spark.createDataFrame([(1, "The other people come here below")], "doc_id bigint, text string")
+    i = spark.createDataFrame([(1, "hello"), (2, "abcde"), (3, "below")], "item_id bigint, text string")
+    assert [r.item_id for r in leaked_items(d, i, edits=0).collect()] == [3]
+
+
 def test_leak_rows(spark):
     d = spark.createDataFrame([(1, "Intro. The QUICK, brown fox! jumps over it", 5), (2, None, 5), (3, "", 5), (4, "unrelated words", 5), (1, "Intro. The QUICK, brown fox! jumps over it", 5), (5, "x" * 200_000 + "thequickbrownfox", 5)], "doc_id bigint, text string, item_id bigint")
     i = spark.createDataFrame([(9, "the quick brown fox jumps over the lazy dog"), (8, None), (7, "…")], "item_id bigint, text string")
