@@ -2,8 +2,8 @@
 
 Two Bloom filters, of canonical digests seen once and seen again, are built by each task and merged block by block. Only
 rows that the merged filter of repeats may hold are shuffled and grouped exactly; all others are singletons
-where they stand. A filter never misses a repeat, so the result doesn't depend on its size; a full one only
-moves more rows.
+where they stand. A filter never misses a repeat, so the result doesn't depend on its size. Where one filter would be too large, the digests are split
+into ranges that have one each, worked off one after the other.
 """
 
 from __future__ import annotations
@@ -12,15 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import store
+from ..runtime import folder, store
 from .canonical import letters_digits
-
-BLOCK_BITS = 1 << 18
-HASHES = 4
+from .filters import MOST_BITS, filter_bits, get, merged_filter, positions
 
 
 def canonical_digest(text: Column, fields: Column, separators: str = r"[|;,/]") -> Column:
@@ -40,65 +37,9 @@ def _digests(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]: offsets[-1]].view(np.uint64).reshape(-1, 2) if len(column) else np.empty((0, 2), np.uint64)
 
 
-def _bits(d: np.ndarray, size: int) -> np.ndarray:
-    """(n, HASHES) bit numbers in a filter of ``size`` bits, a power of two."""
-    steps = np.arange(HASHES, dtype=np.uint64)
-    return ((d[:, :1] + steps * (d[:, 1:] | np.uint64(1))) & np.uint64(size - 1)).astype(np.int64)
-
-
-def _get(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    return ((bitmap[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1).astype(bool).all(axis=1)
-
-
-def _set(bitmap: np.ndarray, bits: np.ndarray) -> None:
-    bits = bits.ravel()
-    np.bitwise_or.at(bitmap, bits >> 3, np.left_shift(np.uint8(1), (bits & 7).astype(np.uint8)))
-
-
-def filter_bits(rows: int, bits_per_row: int = 16, most: int = 1 << 31) -> int:
-    """Size of a filter: a power of two, at most ``most`` bits (256 MB)."""
-    return max(BLOCK_BITS, min(most, 1 << max(0, rows * bits_per_row - 1).bit_length()))
-
-
 def repeat_filter(df: DataFrame, digest: str, size: int) -> np.ndarray:
-    """Bitmap that holds every digest occurring more than once in ``df``; ``size`` / 8 bytes come to the driver."""
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, again = np.zeros(size // 8, np.uint8), np.zeros(size // 8, np.uint8)
-        for batch in batches:
-            d, n = np.unique(_digests(batch.column(0)), axis=0, return_counts=True)
-            bits = _bits(d, size)
-            _set(again, bits[(n > 1) | _get(once, bits)])
-            _set(once, bits)
-        pack = zstandard.ZstdCompressor(level=1).compress
-        width = BLOCK_BITS // 8
-        blocks = [i for i in range(size // BLOCK_BITS) if once[i * width:(i + 1) * width].any()]
-        for i in range(0, len(blocks), 64):
-            cut = [slice(k * width, (k + 1) * width) for k in blocks[i:i + 64]]
-            yield pa.RecordBatch.from_arrays([pa.array(blocks[i:i + 64], pa.int64()), pa.array([pack(once[c].tobytes()) for c in cut], pa.binary()), pa.array([pack(again[c].tobytes()) for c in cut], pa.binary())], names=["block", "once", "again"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for block, o, a in zip(*(c.to_pylist() for c in batch.columns)):
-                o, a = np.frombuffer(unpack(o), np.uint8).copy(), np.frombuffer(unpack(a), np.uint8).copy()
-                if block in state:
-                    once, again = state[block]
-                    again |= a | once & o
-                    once |= o
-                else:
-                    state[block] = (o, a)
-        pack = zstandard.ZstdCompressor(level=1).compress
-        keep = [(k, pack(a.tobytes())) for k, (_, a) in state.items() if a.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], pa.int64()), pa.array([a for _, a in keep], pa.binary())], names=["block", "again"])
-
-    parts = df.select(digest).mapInArrow(build, "block bigint, once binary, again binary")
-    out = np.zeros(size // 8, np.uint8)
-    unpack, width = zstandard.ZstdDecompressor().decompress, BLOCK_BITS // 8
-    for r in parts.repartition("block").mapInArrow(merge, "block bigint, again binary").toLocalIterator():
-        out[r.block * width:(r.block + 1) * width] = np.frombuffer(unpack(bytes(r.again)), np.uint8)
-    return out
+    """Bitmap that holds every digest occurring more than once in ``df``; ``size`` / 8 bytes, at most 128 MB, come to the driver."""
+    return merged_filter(df.select(digest), _digests, size, True)
 
 
 class Copies:
@@ -112,20 +53,40 @@ class Copies:
     thousandth of the rows, of which there can be a thousand, are joined by broadcast, the others by shuffle.
     """
 
-    def __init__(self, rows: DataFrame, bits_per_row: int = 16):
-        self.rows = store(rows.where("digest is not null").select("ord", "digest"), "digests")
-        n = self.rows.count()
-        size = filter_bits(n, bits_per_row)
-        sent = rows.sparkSession.sparkContext.broadcast(repeat_filter(self.rows, "digest", size))
-
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    may = _get(sent.value, _bits(_digests(batch.column(1)), size))
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(may)], names=["ord", "digest", "may"])
-
-        self.probed = self.rows.mapInArrow(probe, "ord bigint, digest binary, may boolean")
-        self.likely = store(self.probed.where("may").select("ord", "digest"), "likely")
+    def __init__(self, rows: DataFrame, bits_per_row: int = 16, most_bits: int = MOST_BITS):
+        """``most_bits``: size of a filter from which on the digests are split into ranges."""
+        spark = rows.sparkSession
+        found = rows.where("digest is not null").select("ord", "digest")
+        base = folder(spark, "digests")
+        found.write.parquet(f"{base}/all")
+        whole = spark.read.schema(found.schema).parquet(f"{base}/all")
+        n = whole.count()
+        ranges = max(1, -(-n * bits_per_row // most_bits))
+        if ranges > 1:
+            # the last four bytes name the range; the filters use the others first
+            part = F.floor(F.conv(F.hex(F.substring("digest", 13, 4)), 16, 10).cast("bigint") * ranges / float(1 << 32)).cast("int")
+            whole.withColumn("part", part).write.partitionBy("part").parquet(f"{base}/ranges")
+            whole = spark.read.parquet(f"{base}/ranges")
+        size = filter_bits(-(-n // ranges), bits_per_row, most_bits)
+
+        def probe(again: object) -> object:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    if batch.num_rows:
+                        may = get(again.value, positions(_digests(batch.column(1)), size))
+                        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(may)], names=["ord", "digest", "may"])
+
+            return run
+
+        for k in range(ranges):
+            own = whole.where(F.col("part") == k).select("ord", "digest") if ranges > 1 else whole
+            sent = spark.sparkContext.broadcast(repeat_filter(own, "digest", size))
+            # of what is seen once only the number goes on
+            probed = own.mapInArrow(probe(sent), "ord bigint, digest binary, may boolean").withColumn("digest", F.when(F.col("may"), F.col("digest")))
+            probed.write.partitionBy("may").parquet(f"{base}/probed/range={k}")
+            sent.destroy()
+        self.probed = spark.read.schema("ord bigint, digest binary, may boolean").parquet(f"{base}/probed")
+        self.likely = self.probed.where("may").select("ord", "digest")
         self.groups = store(self.likely.groupBy("digest").agg(F.min("ord").alias("first_ord"), F.count(F.lit(1)).alias("copies")), "groups")
         self.hot = self.groups.where(F.col("copies") > max(1, n // 1000)).select("digest", "first_ord")
 

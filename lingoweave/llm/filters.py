@@ -1,4 +1,4 @@
-"""Bloom filters that tasks build and merge block by block; a finished one is at most 2^30 bits (128 MB)."""
+"""Bloom filters that tasks build and merge block by block."""
 
 from __future__ import annotations
 
@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame
 
 BLOCK_BITS = 1 << 18
 HASHES = 4
+#: size of a filter, 128 MB, above which its keys are split among several
 MOST_BITS = 1 << 30
 
 
-def filter_bits(rows: int, bits_per_row: int = 16, most: int = MOST_BITS) -> int:
+def filter_bits(rows: int, bits_per_row: int = 16, most: int = 1 << 31) -> int:
     """Size of a filter: a power of two, at most ``most`` bits."""
     return max(BLOCK_BITS, min(most, 1 << max(0, rows * bits_per_row - 1).bit_length()))
 

@@ -68,56 +68,67 @@ def text_keys(texts: list[bytes]) -> np.ndarray:
     return hilbert(points)
 
 
-def packed(sizes: Iterable[int], capacity: int, windows: int = 64, most_open: int = 64) -> Iterator[list[tuple[int, int, int, int]]]:
-    """Pieces (item, part, size, container) of items in order, window by window; containers are numbered from 0.
+class Packer:
+    """Packs items as they come, window by window; containers are numbered from 0.
 
     An item above the capacity is cut into full pieces, each a container of its own, and a rest; no other is cut. Only a window of items
-    and the containers still open are held.
+    and the containers still open are held, whatever the number of items.
     """
-    n = 0
-    free: list[tuple[int, int]] = []  # (room left, container), ascending
-    waiting: list[tuple[int, int, int]] = []
-    out: list[tuple[int, int, int, int]] = []
-    total = 0
-
-    def settle() -> None:
-        nonlocal n
-        waiting.sort(key=lambda x: -x[0])
-        for size, item, part in waiting:
-            k = bisect_left(free, (size, -1))
-            if k < len(free):
-                room, box = free.pop(k)
+
+    def __init__(self, capacity: int, windows: int = 64, most_open: int = 64):
+        self.capacity, self.windows, self.most_open = capacity, windows, most_open
+        self.boxes = self.items = self._total = 0
+        self._free: list[tuple[int, int]] = []  # (room left, container), ascending
+        self._waiting: list[tuple[int, int, int]] = []
+        self._out: list[tuple[int, int, int, int]] = []
+
+    @property
+    def waiting_from(self) -> int:
+        """Number of the first item that is not settled."""
+        return min((item for _, item, _ in self._waiting), default=self.items)
+
+    def add(self, sizes: Iterable[int]) -> list[tuple[int, int, int, int]]:
+        """Pieces (item, part, size, container) that are settled by these items, among them pieces of earlier ones."""
+        for size in sizes:
+            part = 0
+            while size > self.capacity:
+                self._out.append((self.items, part, self.capacity, self.boxes))
+                self.boxes += 1
+                part += 1
+                size -= self.capacity
+            self._waiting.append((size, self.items, part))
+            self.items += 1
+            self._total += size
+            if self._total >= self.windows * self.capacity or len(self._waiting) >= 50_000:
+                self._settle()
+        out, self._out = self._out, []
+        return out
+
+    def finish(self) -> list[tuple[int, int, int, int]]:
+        self._settle()
+        out, self._out = self._out, []
+        return out
+
+    def _settle(self) -> None:
+        self._waiting.sort(key=lambda x: -x[0])
+        for size, item, part in self._waiting:
+            k = bisect_left(self._free, (size, -1))
+            if k < len(self._free):
+                room, box = self._free.pop(k)
             else:
-                room, box = capacity, n
-                n += 1
-            out.append((item, part, size, box))
-            insort(free, (room - size, box))
-        del free[:-most_open]
-        waiting.clear()
-
-    for item, size in enumerate(sizes):
-        part = 0
-        while size > capacity:
-            out.append((item, part, capacity, n))
-            n += 1
-            part += 1
-            size -= capacity
-        waiting.append((size, item, part))
-        total += size
-        if total >= windows * capacity or len(waiting) >= 50_000:
-            settle()
-            total = 0
-        if len(out) >= 100_000:
-            yield out
-            out = []
-    settle()
-    yield out
+                room, box = self.capacity, self.boxes
+                self.boxes += 1
+            self._out.append((item, part, size, box))
+            insort(self._free, (room - size, box))
+        del self._free[:-self.most_open]
+        self._waiting.clear()
+        self._total = 0
 
 
 def pack(sizes: Iterable[int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
     """All pieces, and the number of containers."""
-    out = [x for part in packed(sizes, capacity) for x in part]
-    return out, max((box for *_, box in out), default=-1) + 1
+    packer = Packer(capacity)
+    return [*packer.add(sizes), *packer.finish()], packer.boxes
 
 
 def fill_requests(entries: DataFrame, limits: DataFrame, texts: tuple[str, ...] = ("source", "context_text"), partitions: int | None = None) -> DataFrame:
@@ -148,23 +159,38 @@ def fill_requests(entries: DataFrame, limits: DataFrame, texts: tuple[str, ...]
     whole = F.concat_ws("\n", *[F.col(c).cast("string") for c in texts])
     chars = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in texts), F.lit(0))
     items = store(entries.select(F.col("ord").cast("bigint").alias("ord"), whole.cast("binary").alias("text"), chars.cast("bigint").alias("chars")).mapInArrow(measure, "ord bigint, chars bigint, key int"), "items")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many partitions as the session shuffles into, more where they would have more than a million rows
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-items.count() // 1_000_000))
     tie = F.xxhash64("ord", "chars")
     ordered = items.repartitionByRange(n, "key", tie).sortWithinPartitions("key", tie).select("ord", "chars", F.spark_partition_id().cast("bigint").alias("part"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        ids = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in got])
-        sizes = np.concatenate([b.column(1).to_numpy() for b in got])
-        base = int(got[0].column(2)[0].as_py()) << 32
-        for provider, cap in caps:
-            for out in packed(map(int, sizes), cap):
-                item, part, size, box = np.array(out, np.int64).reshape(-1, 4).T
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([provider] * len(item), pa.string()), pa.array(box + base), pa.array(ids[item]), pa.array((part + 1).astype(np.int32)), pa.array(np.maximum(1, -(-sizes[item] // cap)).astype(np.int32)), pa.array(part * cap), pa.array(size)],
-                    names=["provider", "request_no", "ord", "part_no", "parts", "from_char", "chars"])
+        packers = [(provider, cap, Packer(cap)) for provider, cap in caps]
+        held: dict[int, tuple[int, int]] = {}  # number -> ord and length of the items that some packer has not settled
+        base = oldest = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            base = int(batch.column(2)[0].as_py()) << 32
+            first = packers[0][2].items if packers else 0
+            sizes = batch.column(1).to_pylist()
+            held.update(zip(range(first, first + len(sizes)), zip(batch.column(0).to_pylist(), sizes)))
+            for provider, cap, packer in packers:
+                yield from pieces(provider, cap, packer.add(sizes), held, base)
+            keep = min((p.waiting_from for _, _, p in packers), default=0)
+            for k in range(oldest, keep):
+                del held[k]
+            oldest = max(oldest, keep)
+        for provider, cap, packer in packers:
+            yield from pieces(provider, cap, packer.finish(), held, base)
+
+    def pieces(provider: str, cap: int, out: list[tuple[int, int, int, int]], held: dict[int, tuple[int, int]], base: int) -> Iterator[pa.RecordBatch]:
+        if out:
+            item, part, size, box = np.array(out, np.int64).reshape(-1, 4).T
+            ids, chars = zip(*(held[k] for k in item.tolist()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([provider] * len(item), pa.string()), pa.array(box + base), pa.array(ids, pa.int64()), pa.array((part + 1).astype(np.int32)), pa.array(np.maximum(1, -(-np.array(chars) // cap)).astype(np.int32)), pa.array(part * cap), pa.array(size)],
+                names=["provider", "request_no", "ord", "part_no", "parts", "from_char", "chars"])
 
     return ordered.mapInArrow(fill, "provider string, request_no bigint, ord bigint, part_no int, parts int, from_char bigint, chars bigint")
 

@@ -76,3 +76,33 @@ def test_requests_are_full_and_a_hot_text_spreads(spark):
     r = fill_requests(e, limits)
     assert r.count() == 20_000 and fill_summary(r, limits).first().fill > 0.97
     assert r.join(e, "ord").where("source = 'Yes'").select((F.col("request_no") / (1 << 32)).cast("int").alias("p")).distinct().count() > 1
+
+
+def test_filters_by_range(spark):
+    """Many small filters, one after the other, find the same groups as one."""
+    import hashlib
+    from collections import Counter
+
+    rows = [(i, hashlib.md5(str(i % 700 if i % 3 else i).encode()).digest()) for i in range(3000)] + [(5000, None)]
+    df = spark.createDataFrame(rows, "ord bigint, digest binary")
+    n = Counter(d for _, d in rows if d)
+    expected = sorted((min(o for o, x in rows if x == d), k) for d, k in n.items())
+    for most in (1 << 18, 12_000):
+        c = Copies(df, most_bits=most)
+        assert sorted(map(tuple, c.records.collect())) == expected
+        assert c.members.count() == sum(k for k in n.values() if k > 1)
+
+
+def test_packer_as_a_stream():
+    import random
+
+    from lingoweave.llm.packing import Packer, pack
+
+    rng = random.Random(6)
+    sizes = [rng.randrange(0, 40) if i % 50 else rng.randrange(100, 400) for i in range(5000)]
+    whole, boxes = pack(sizes, 100)
+    p, out, most = Packer(100), [], 0
+    for i in range(0, 5000, 37):
+        out += p.add(sizes[i:i + 37])
+        most = max(most, p.items - p.waiting_from)
+    assert [*out, *p.finish()] == whole and p.boxes == boxes and most < 2000
