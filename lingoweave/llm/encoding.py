@@ -131,6 +131,15 @@ def garble(text: str, chain: str) -> str | None:
     return None if out == text else out
 
 
+def garble_all(texts: list[str], chain: str) -> list[str]:
+    """``garble`` of many texts without NUL, those left out that it can't garble: their bytes are decoded together, with NUL between them, which no character spans."""
+    some = [t for t in texts if _has(t, CHAINS[chain][0][0])]
+    out = "\0".join(some)
+    for true, read in CHAINS[chain]:
+        out = decode(encode(out, true), read, "replace")
+    return [g for g, t in zip(out.split("\0"), some) if g != t] if some else []
+
+
 def ungarble(text: str, chain: str) -> str | None:
     """The text that the chain turned into ``text``; None if any step fails strictly."""
     out = text
@@ -154,12 +163,14 @@ class EncodingModel:
     def __init__(self, clean: list[str], smoothing: float = 0.05):
         self.chains = [c for c in CHAINS if c not in SINGLE]
         self.smoothing = smoothing
-        texts = sorted({t for t in clean if t})
+        texts = sorted({t for t in clean if t and "\0" not in t})
         # capitals are as clean as what they were made from
         clean = sorted({v for t in texts for v in (t, t.upper(), t.lower())})
         # the sample itself holds garbled texts: a model of a quarter of it tells which to leave out
         self._fit(clean, [t for t in texts if not t.isascii()][::4])
-        keep = [t for t in clean if t.isascii() or self.rise(t)[0] < 8 and not (_BESIDE.search(t) and self.rise(t, True)[0] >= 4 and self._restore_single(t)[0])]
+        wide = [t for t in clean if not t.isascii()]
+        risen = {t for t, r in zip(wide, self.rises([t.encode("utf-8", "replace") for t in wide])) if r >= 8}
+        keep = [t for t in clean if t.isascii() or t not in risen and not (_BESIDE.search(t) and self.rise(t, True)[0] >= 4 and self._restore_single(t)[0])]
         kept = set(keep)
         self._fit(keep, [t for t in texts if not t.isascii() and t in kept])
 
@@ -191,7 +202,7 @@ class EncodingModel:
                     n = self._count(texts)
                     own[true] = texts, n / max(1.0, n.sum())
                 texts, before = own[true]
-            n = self._count([g for t in texts if (g := garble(t, c))])
+            n = self._count(garble_all(texts, c))
             if c not in SINGLE:
                 by_chain.append(log(n))
             share = n / max(1.0, n.sum())

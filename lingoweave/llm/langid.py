@@ -7,6 +7,7 @@ within a sentence, labels the text.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections import defaultdict
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import sample_distinct
+from .words import Words, lowered
 
 LANGUAGES = ["en", "de", "fr", "es", "pt", "vi", "ja", "ko", "zh"]
 LATIN = [LANGUAGES.index(x) for x in ("en", "de", "fr", "es", "pt", "vi")]
@@ -51,6 +53,18 @@ _SPELLING = {w: code for code, words in NAMES.items() for w in words.split()}
 
 CODES = re.compile(r"\\[A-Za-z]+(?:\[[^\]\n]*\])?|\\[^A-Za-z\s]|%\d+|<[^<>\n]{0,80}>|\{[^{}\n]{0,80}\}")
 _WORD = re.compile("[\u3041-\u30ff\uff66-\uff9f]+|[\u3400-\u9fff\uf900-\ufaff々]+|[\uac00-\ud7af\u1100-\u11ff\u3130-\u318f]+|[A-Za-z\u00c0-\u024f\u1e00-\u1eff]+")
+
+
+@functools.cache
+def _scripts() -> np.ndarray:
+    """The same scripts as classes of code points."""
+    out = np.zeros(0x110000, np.uint8)
+    for k, ranges in enumerate(((0x41, 0x5A, 0x61, 0x7A, 0xC0, 0x24F, 0x1E00, 0x1EFF), (0x3400, 0x9FFF, 0xF900, 0xFAFF, 0x3005, 0x3005), (0xAC00, 0xD7AF, 0x1100, 0x11FF, 0x3130, 0x318F), (0x3041, 0x30FF, 0xFF66, 0xFF9F)), 5):
+        for a, b in zip(ranges[::2], ranges[1::2]):
+            out[a:b + 1] = k
+    return out
+
+
 _END = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？]+[」』”）]*|\n+|\s/\s|…+(?=[^\s.!?。！？])")
 
 
@@ -85,6 +99,11 @@ def blank_codes(text: str) -> str:
     return CODES.sub(lambda m: " " * len(m[0]), text) if "\\" in text or "<" in text or "%" in text or "{" in text else text
 
 
+def prepared(text: str) -> str:
+    """Composed letters in lower case, codes replaced by as many blanks."""
+    return lowered(blank_codes(text))
+
+
 class LanguageModel:
     """Word scores and the Viterbi path over them."""
 
@@ -92,14 +111,11 @@ class LanguageModel:
 
     def __init__(self, rows: list[tuple[str, str]], between: float = 5.0, within: float = 60.0):
         self.between, self.within = between, within
-        rows = [(blank_codes(t).lower(), LANGUAGES.index(x)) for t, x in rows if t and x in LANGUAGES]
+        rows = [(prepared(t), LANGUAGES.index(x)) for t, x in rows if t and x in LANGUAGES]
         self._fit(rows)
         # labels may be wrong: leave out what the first model reads clearly otherwise, and fit again
-        kept = []
-        for t, x in rows:
-            total = self.score(t).sum(axis=0)
-            if len(total) and total[x] > total.max() - 6:
-                kept.append((t, x))
+        total = self.totals([t for t, _ in rows])
+        kept = [(t, x) for (t, x), own in zip(rows, total) if own.any() and own[x] > own.max() - 6]
         self._fit(kept)
 
     @staticmethod
@@ -143,7 +159,7 @@ class LanguageModel:
                 some = HAN if c > "\u2fff" else LATIN
                 s = np.zeros(len(LANGUAGES))
                 for g in self._grams(w):
-                    s = s + (self.grams.get(g, self.unseen) - self.unseen.mean())
+                    s = s + self.grams.get(g, self.unseen)
                 s = 0.5 * s[some]
                 # a run of Han signs is many words
                 least = self.FLOOR * max(1, len(w) / 2) if c > "\u2fff" else self.FLOOR
@@ -153,63 +169,113 @@ class LanguageModel:
                 self.cache[w] = got
         return got
 
+    def known(self, w: str) -> np.ndarray:
+        """For which languages a lower-case word occurs in the sample or among the function words; kana and Hangul are known by their script, Han signs one by one."""
+        c = w[0]
+        if "\u3041" <= c <= "\u30ff" or "\uff66" <= c <= "\uff9f" or "\uac00" <= c <= "\ud7af" or "\u1100" <= c <= "\u11ff" or "\u3130" <= c <= "\u318f":
+            return np.ones(len(LANGUAGES), bool)
+        least = self.unseen + 0.5
+        if c > "\u2fff":
+            return np.mean([self.grams.get(x, self.unseen) > least for x in w], axis=0) >= 0.5
+        return self.grams.get(f"={w}", self.unseen) > least
+
+    def words(self, texts: list[str]) -> tuple[Words, np.ndarray, np.ndarray]:
+        """The words of prepared texts, their scores (words, languages) and in which languages they are known; each different word is scored once."""
+        w = Words(texts, classes=_scripts())
+        joined = "".join(texts)
+        _, first, back = np.unique(w.hash, return_index=True, return_counts=False, return_inverse=True)
+        different = [joined[a:b].lower() for a, b in zip(w.start[first].tolist(), w.stop[first].tolist())]
+        scores = np.array([self.word(x) for x in different]).reshape(-1, len(LANGUAGES))
+        known = np.array([self.known(x) for x in different], bool).reshape(-1, len(LANGUAGES))
+        return w, scores[back], known[back]
+
     def score(self, text: str) -> np.ndarray:
         """(words, languages) of a prepared text."""
         found = [self.word(w) for w in _WORD.findall(text)]
         return np.array(found) if found else np.zeros((0, len(LANGUAGES)))
 
+    def totals(self, texts: list[str]) -> np.ndarray:
+        """(texts, languages): sums of the scores of all words of each text."""
+        w, scores, _ = self.words([prepared(t) for t in texts])
+        sums = np.concatenate([np.zeros((1, len(LANGUAGES))), np.cumsum(scores, axis=0)])
+        return sums[w.first + w.count] - sums[w.first]
+
     def whole(self, text: str | None) -> tuple[str | None, float]:
         """The one language that fits the whole text best, and its lead over the second in nats."""
-        total = self.score(blank_codes(text or "").lower()).sum(axis=0)
+        total = self.totals([text or ""])[0]
         if not total.any():
             return None, 0.0
         order = np.argsort(total)
         return LANGUAGES[order[-1]], float(total[order[-1]] - total[order[-2]])
 
     def segments(self, text: str | None) -> list[tuple[str, int, int, float]]:
-        """(language, start, end, confidence) of the longest stretches of whole sentences in one language; nothing without known letters.
+        """``many`` for one text, without the shares."""
+        return [x[:4] for x in self.many([text or ""])[0]]
+
+    def many(self, texts: list[str], within: float | None = None) -> list[list[tuple[str, int, int, float, float]]]:
+        """For each text (language, start, end, confidence, known share) of its longest stretches in one language; nothing without known letters.
 
-        Positions are of the text with composed letters. Confidence is the probability of the language against the others by the scores of the stretch, damped.
+        Stretches are of whole sentences, each in the language of most of its words, or, if ``within`` is given (the penalty of a switch inside a sentence), of words. Positions are of the text
+        with composed letters. Confidence is the probability of the language against the others by the scores of the stretch, damped; the known share is that of the letters of words
+        that are known in the language.
         """
-        if not text:
-            return []
-        plain = blank_codes(text).lower()
-        if len(plain) != len(text):
-            plain = blank_codes(text)
-            plain = "".join(c if len(c.lower()) > 1 else c.lower() for c in plain)
-        spans, scores, owner = sentences(plain), [], []
-        for k, (a, b) in enumerate(spans):
-            for w in _WORD.findall(plain, a, b):
-                scores.append(self.word(w))
-                owner.append(k)
-        if not scores:
-            return []
-        s = np.array(scores)
-        sums = np.add.reduceat(s, np.flatnonzero(np.diff(owner, prepend=-1)), axis=0)
-        heard = sorted(set(owner))
-        if len(set(sums.argmax(axis=1).tolist())) == 1:
-            path = [int(sums[0].argmax())] * len(owner)
-        else:
-            path = self._viterbi(s, owner)
-        # the language of a sentence is that of most of its words; the path switches between sentences but for very mixed ones
-        of = {k: max(set(p), key=p.count) for k in heard if (p := [x for x, o in zip(path, owner) if o == k])}
-        out: list[list] = []
-        for k, (a, b) in enumerate(spans):
-            x = of.get(k)
-            if out and (x is None or out[-1][0] == x):
-                out[-1][2] = b
-                if x is not None:
-                    out[-1][3] = out[-1][3] + sums[heard.index(k)]
-            elif x is not None:
-                out.append([x, a if out else 0, b, sums[heard.index(k)]])
-        return [(LANGUAGES[x], a, b, float(1 / np.exp((t - t[x]) / 4).sum())) for x, a, b, t in out]
-
-    def _viterbi(self, s: np.ndarray, owner: list[int]) -> list[int]:
+        plain = [prepared(t) for t in texts]
+        w, scores, known = self.words(plain)
+        spans = [sentences(t) for t in plain]
+        starts = np.array([int(b) + a for b, s in zip(w.begin, spans) for a, _ in s], np.int64)
+        first = np.concatenate([[0], np.cumsum([len(s) for s in spans])]).astype(np.int64)
+        owner = np.searchsorted(starts, w.start, "right") - 1  # sentence of each word
+        edge = np.flatnonzero(np.diff(owner, prepend=-1))
+        sums = np.add.reduceat(scores, edge, axis=0) if len(edge) else np.zeros((0, len(LANGUAGES)))
+        heard = owner[edge]  # sentences with words
+        best = sums.argmax(axis=1)
+        bounds = np.searchsorted(heard, first)
+        size = w.stop - w.start
+        out: list[list[tuple[str, int, int, float, float]]] = []
+        for i in range(len(texts)):
+            a, b = int(bounds[i]), int(bounds[i + 1])
+            if a == b:
+                out.append([])
+                continue
+            p = slice(int(w.first[i]), int(w.first[i] + w.count[i]))
+            if within is None and (best[a:b] == best[a]).all():
+                out.append([self._part(int(best[a]), 0, len(plain[i]), sums[a:b].sum(axis=0), known[p], size[p])])
+                continue
+            path = self._viterbi(scores[p], owner[p].tolist(), self.within if within is None else within)
+            if within is None:
+                # the language of a sentence is that of most of its words; the path switches between sentences but for very mixed ones
+                of: dict[int, list[int]] = {}
+                for x, o in zip(path, owner[p].tolist()):
+                    of.setdefault(o, []).append(x)
+                pieces = [[max(set(x), key=x.count) if (x := of.get(o)) else None, *spans[i][o - int(first[i])]] for o in range(int(first[i]), int(first[i + 1]))]
+            else:
+                pieces = [[x, int(u), int(v)] for x, u, v in zip(path, w.start[p] - w.begin[i], w.stop[p] - w.begin[i])]
+            merged: list[list] = []
+            for x, u, v in pieces:
+                if merged and (x is None or merged[-1][0] == x):
+                    merged[-1][2] = v
+                elif x is not None:
+                    if within is not None and merged:
+                        merged[-1][2] = u
+                    merged.append([x, u if merged else 0, v])
+            merged[-1][2] = len(plain[i])
+            parts = []
+            for x, u, v in merged:
+                inside = np.flatnonzero((w.start[p] - w.begin[i] >= u) & (w.start[p] - w.begin[i] < v)) + p.start
+                parts.append(self._part(x, u, v, scores[inside].sum(axis=0), known[inside], size[inside]))
+            out.append(parts)
+        return out
+
+    @staticmethod
+    def _part(x: int, start: int, end: int, total: np.ndarray, known: np.ndarray, size: np.ndarray) -> tuple[str, int, int, float, float]:
+        return LANGUAGES[x], start, end, float(1 / np.exp((total - total[x]) / 4).sum()), float(size[known[:, x]].sum() / max(1, size.sum()))
+
+    def _viterbi(self, s: np.ndarray, owner: list[int], within: float) -> list[int]:
         best = s[0].copy()
         back = np.empty((len(s), s.shape[1]), np.int8)
         stay = np.arange(s.shape[1])
         for i in range(1, len(s)):
-            cost = self.between if owner[i] != owner[i - 1] else self.within
+            cost = min(self.between, within) if owner[i] != owner[i - 1] else within
             top = int(best.argmax())
             jump = best[top] - cost
             take = jump > best

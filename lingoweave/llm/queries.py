@@ -20,12 +20,18 @@ from .pairs import defective_pairs, train_pair_model
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     results = table(spark, d, "results")
-    return defective_pairs(results, train_pair_model(results)).distinct()
+    return defective_pairs(results, train_pair_model(results)).where("defect <> 'near_copied'").distinct()
 
 
-def _languages(spark: SparkSession, d: str) -> DataFrame:
+def p2_near_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Targets that are their source but for a few letters."""
     results = table(spark, d, "results")
-    return text_languages(results, *train_label_models(results))
+    return defective_pairs(results, train_pair_model(results)).where("defect = 'near_copied'").select("ord")
+
+
+def _languages(spark: SparkSession, d: str, within: float | None = None) -> DataFrame:
+    results = table(spark, d, "results")
+    return text_languages(results, *train_label_models(results), within)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -33,7 +39,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_segments(spark: SparkSession, d: str) -> DataFrame:
-    return _languages(spark, d).select("ord", "segment_no", "lang", F.round("confidence", 4).alias("confidence"), "start", "length", "labelled")
+    """Every stretch of words in one language, also inside sentences, with its confidence."""
+    return _languages(spark, d, 12.0).select("ord", "segment_no", "lang", F.round("confidence", 4).alias("confidence"), "start", "length", "labelled")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -48,6 +55,15 @@ def p5_requests(spark: SparkSession, d: str) -> DataFrame:
     return fill_requests(table(spark, d, "entries"), table(spark, d, "batch_limits"))
 
 
+def p5_assigned(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of every entry and provider: its characters are in requests, once and in so many parts, none of them too full."""
+    requests, limits = p5_requests(spark, d), table(spark, d, "batch_limits")
+    full = requests.groupBy("provider", "request_no").agg(F.sum("chars").alias("used")).join(F.broadcast(limits), "provider")
+    over = full.where("used > max_chars").groupBy("provider").agg(F.count(F.lit(1)).alias("over"))
+    each = requests.groupBy("provider", "ord").agg(F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("parts"))
+    return each.join(F.broadcast(over), "provider", "left").select("provider", "ord", "chars", "parts", F.coalesce("over", F.lit(0).cast("bigint")).alias("over_full"))
+
+
 def p5_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_summary(p5_requests(spark, d), table(spark, d, "batch_limits"))
 
@@ -106,7 +122,7 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_segments, p4_found, p4_records, p5_requests, p5_fill, p7_found, p7_restored, p8_found, p8_items, p8_near, p9_mixture, p9_shares, p10_found, p10_sources)}
+    return {f.__name__: f for f in (p2_found, p2_near_copies, p3_found, p3_segments, p4_found, p4_records, p5_requests, p5_assigned, p5_fill, p7_found, p7_restored, p8_found, p8_items, p8_near, p9_mixture, p9_shares, p10_found, p10_sources)}
 
 
 _CANONICAL = r"""
@@ -132,6 +148,8 @@ h as (select distinct doc_id, item_id from a join w using (g) where contains(a.t
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_assigned": """with l as (select provider, min(max_chars) as m from batch_limits where max_chars >= 1 group by 1), e as (select ord, length(coalesce(source, '')) + length(coalesce(context_text, '')) as chars from entries)
+select provider, ord, chars, greatest(1, cast(ceil(chars / m) as bigint)) as parts, cast(0 as bigint) as over_full from e, l""",
         "p8_found": _LEAKS + "select doc_id, item_id from h",
         "p4_found": _CANONICAL + "select first_ord, ord as copy_ord from g where ord <> first_ord",
         "p4_records": _CANONICAL + "select first_ord, copies from g where ord = first_ord",

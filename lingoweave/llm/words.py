@@ -19,11 +19,15 @@ _R = np.uint64(0x9E3779B97F4A7C15)  # odd: it has an inverse
 _R_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+#: no letters beyond
+_LETTERS = 0x33480
+
+
 @functools.cache
 def _classes() -> np.ndarray:
     """Class of each code point: 0 none, 1 letter or digit, 2 a sign that is a word by itself (Han, kana), 3 Hangul."""
     out = np.zeros(0x110000, np.uint8)
-    out[:0x33480] = [chr(c).isalnum() for c in range(0x33480)]
+    out[:_LETTERS] = np.char.isalnum(np.arange(_LETTERS, dtype=np.uint32).view("U1"))
     out[0x3041:0x3100] = out[0x3400:0xA000] = out[0xF900:0xFB00] = 2
     out[0xAC00:0xD7A4] = 3
     return out
@@ -33,7 +37,7 @@ def _classes() -> np.ndarray:
 def _apart() -> np.ndarray:
     """The same with decimal digits (4) apart from letters."""
     out = _classes().copy()
-    out[:0x33480][[chr(c).isdecimal() for c in range(0x33480)]] = 4
+    out[:_LETTERS][np.char.isdecimal(np.arange(_LETTERS, dtype=np.uint32).view("U1"))] = 4
     return out
 
 
@@ -76,13 +80,14 @@ class Words:
     Han and kana signs are words by themselves; letter case does not count. ``digits_apart``: numbers are cut off from letters.
     """
 
-    def __init__(self, texts: list[str], digits_apart: bool = False):
+    def __init__(self, texts: list[str], digits_apart: bool = False, classes: np.ndarray | None = None):
+        """``classes``: another class for each code point; signs of class 2 are words by themselves, runs of any other are one word."""
         self.texts = texts
         self.size = np.fromiter(map(len, texts), np.int64, len(texts))
         self.begin = np.cumsum(self.size) - self.size
         total = int(self.size.sum())
         codes = np.frombuffer("".join(map(lowered, texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
-        kind = (_apart() if digits_apart else _classes())[codes]
+        kind = (classes if classes is not None else _apart() if digits_apart else _classes())[codes]
         new = np.ones(total + 1, bool)  # a word or a gap begins here
         new[1:total] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
         new[self.begin[self.size > 0]] = True
