@@ -1,4 +1,4 @@
-"""Command line: scan, extract, translate, apply, diff, retry, validate. Each is a thin layer over the library."""
+"""Command line: scan, extract, translate, pipeline, auto, apply, diff, retry, validate. Each is a thin layer over the library."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .operators import glossary, results
 from .operators.batching import auto_batch_size
-from .plans.pipeline import Options, run
-from .runtime import ship
+from .plans.pipeline import Options, run, translate_names
+from .runtime import ship, store
 from .sources import csv_store, games, json_tree
 
 
@@ -21,8 +21,15 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.withColumn("ord", F.monotonically_increasing_id())
 
 
+def _texts(spark: SparkSession, game: str) -> DataFrame:
+    """Entries of all trees and plugin lists of a game."""
+    trees = json_tree.extract(games.read_json_files(spark, game))
+    plugins = games.plugin_parameters(games.read_scripts(spark, game))
+    return trees.unionByName(plugins.select("file", "key", "source", "context", F.array().cast("array<string>").alias("sub_keys"), F.lit("").alias("context_text")))
+
+
 def scan(spark: SparkSession, a: argparse.Namespace) -> int:
-    e = numbered(json_tree.extract(games.read_json_files(spark, a.game)))
+    e = numbered(_texts(spark, a.game))
     contexts = {r.context: r.entries for r in results.scan_contexts(e).orderBy("context").collect()}
     files = [[r.file, r.entries] for r in results.top_files(e).collect()]
     print(json.dumps({"entries": sum(contexts.values()), "contexts": contexts, "top_files": files}, ensure_ascii=False, indent=1))
@@ -30,9 +37,8 @@ def scan(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def extract(spark: SparkSession, a: argparse.Namespace) -> int:
-    files = games.read_json_files(spark, a.game)
-    csv_store.write_entries(json_tree.extract(files), a.out)
-    for r in json_tree.warnings(files).limit(20).collect():
+    csv_store.write_entries(_texts(spark, a.game), a.out)
+    for r in json_tree.warnings(games.read_json_files(spark, a.game)).limit(20).collect():
         print(f"{r.file}: {r.warning}", file=sys.stderr)
     return 0
 
@@ -41,25 +47,53 @@ def translate(spark: SparkSession, a: argparse.Namespace) -> int:
     e = numbered(csv_store.read_entries(spark, a.texts))
     old = numbered(csv_store.read_results(spark, a.resume)) if a.resume else None
     memory = csv_store.read_memory(spark, a.memory) if a.memory else None
+    terms = csv_store.read_glossary(spark, a.glossary) if a.glossary else None
+    names = csv_store.read_namebox(spark, a.names) if a.names else None
     size = a.batch_size or auto_batch_size(e).first().batch_size  # 0: by the length of the texts
     rules = csv_store.read_rules(spark, a.corrections) if a.corrections else []
-    out = run(e, Options(a.target, a.source, a.provider, size, corrections=rules, restart=a.restart), old, memory)
-    csv_store.write_results(out.drop("origin"), a.out, [])
+    options = Options(a.target, a.source, a.provider, size, corrections=rules, restart=a.restart, auto_glossary=True)
+    if names is not None:
+        names = translate_names(e, options, names)
+        csv_store.write_namebox(names, a.names + ".new")
+    out = run(e, options, old, memory, names, terms)
+    csv_store.write_results(out.drop("origin"), a.out)
     return 0
 
 
 def apply(spark: SparkSession, a: argparse.Namespace) -> int:
-    files = games.read_json_files(spark, a.game)
-    base = F.substring_index(F.col("file"), "/", -1)
-    if games.duplicate_outputs(files, F.col("file")).limit(1).count():
-        raise SystemExit("two files would be written to one place")
-    patched = games.patch(files, numbered(csv_store.read_results(spark, a.results)))
+    files = games.read_json_files(spark, a.game).unionByName(games.read_scripts(spark, a.game))
+    made = numbered(csv_store.read_results(spark, a.results))
+    used = files.join(made.select("file").distinct(), "file", "left_semi")
+    double = games.duplicate_outputs(used, games.output_path(F.col("file"))).limit(1).collect()
+    if double:
+        raise SystemExit(f"several files would be written to {double[0].output}")
+    patched = store(games.patch(files, made), "patched")
     if patched.where("applied = 0 and stale > 0").limit(1).count():
         raise SystemExit("no path of some file is there any more: nothing is written")
-    patched.select(base.alias("name"), "file", "body").write.mode("overwrite").parquet(a.out)
+    games.write_files(patched.where("body is not null").select(games.output_path(F.col("file")).alias("output"), "body"), a.out)
     return 0
 
 
+def auto(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Everything from the game to its patched files, with the texts and results beside them."""
+    a.texts, a.results = f"{a.out}/texts", f"{a.out}/results"
+    where, a.out = a.out, a.texts
+    extract(spark, a)
+    a.out = a.results
+    translate(spark, a)
+    a.out = f"{where}/patched"
+    return apply(spark, a)
+
+
+def pipeline(spark: SparkSession, a: argparse.Namespace) -> int:
+    """From the game to its results, without patching."""
+    a.texts = f"{a.out}/texts"
+    where, a.out = a.out, a.texts
+    extract(spark, a)
+    a.out = f"{where}/results"
+    return translate(spark, a)
+
+
 def diff(spark: SparkSession, a: argparse.Namespace) -> int:
     old, new = (results.dedupe_last(numbered(csv_store.read_entries(spark, p))) for p in (a.old, a.new))
     tr = results.dedupe_last(numbered(csv_store.read_results(spark, a.translations)).drop("extra"))
@@ -82,14 +116,16 @@ def validate(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.glossary:
         report["glossary"] = [x.warning for x in glossary.lint(csv_store.read_glossary(spark, a.glossary)).orderBy("line_no").collect()]
     print(json.dumps(report, ensure_ascii=False, indent=1))
-    return 1 if not report["total"] else 2 if a.strict and report["warnings"] else 0
+    doubtful = report["warnings"] or report["nouns"] or report["fallback"] or report["empty"] or report.get("glossary")
+    return 1 if not report["total"] else 2 if a.strict and doubtful else 0
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="lingoweave", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
+    asks = ["--target", "--source=auto", "--provider=upper", "--batch-size=0", "--resume=", "--memory=", "--corrections=", "--glossary=", "--names=", "--restart!"]
     specs = {
-        scan: ["game"], extract: ["game", "out"], translate: ["texts", "out", "--target", "--source=auto", "--provider=upper", "--batch-size=0", "--resume=", "--memory=", "--corrections=", "--restart!"],
+        scan: ["game"], extract: ["game", "out"], translate: ["texts", "out", *asks], pipeline: ["game", "out", *asks], auto: ["game", "out", *asks],
         apply: ["game", "results", "out"], diff: ["old", "new", "--translations", "out"], retry: ["results", "out", "--filter=needs-retry"], validate: ["results", "--glossary=", "--strict!"],
     }
     for f, names in specs.items():

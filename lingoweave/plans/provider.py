@@ -21,6 +21,47 @@ class Provider(ABC):
     @abstractmethod
     def translate(self, texts: list[str], target_lang: str, source_lang: str) -> list[str]: ...
 
+    def translate_items(self, items: list[dict], target_lang: str, source_lang: str, glossary: str = "") -> list[str | None]:
+        """Answers to items (id, key, source, hint); a provider that takes no more than texts leaves hints and glossary aside."""
+        return self.translate([x["source"] for x in items], target_lang, source_lang)
+
+
+class TextProvider(Provider):
+    """A service that takes one text at a time, with a pause of so many seconds between two."""
+
+    pause = 0.2
+
+    @abstractmethod
+    def translate_text(self, text: str, target_lang: str, source_lang: str) -> str: ...
+
+    def translate(self, texts: list[str], target_lang: str, source_lang: str) -> list[str]:
+        out = []
+        for i, t in enumerate(texts):
+            if i and self.pause:
+                time.sleep(self.pause)
+            out.append(self.translate_text(t, target_lang, source_lang))
+        return out
+
+
+class ChatProvider(Provider):
+    """A service that is given the glossary and the items as JSON and answers with JSON, which is mended, parsed and matched by id."""
+
+    @abstractmethod
+    def complete(self, system: str, user: str) -> str: ...
+
+    def translate(self, texts: list[str], target_lang: str, source_lang: str) -> list[str]:
+        return [x or "" for x in self.translate_items([{"id": str(i), "key": str(i), "source": t, "hint": ""} for i, t in enumerate(texts)], target_lang, source_lang)]
+
+    def translate_items(self, items: list[dict], target_lang: str, source_lang: str, glossary: str = "") -> list[str | None]:
+        user = json.dumps({"target": target_lang, "source": source_lang, "items": items}, ensure_ascii=False)
+        good, _ = parse_answers(self.complete(glossary, user))
+        by_id = {x["id"]: x["target"] for x in good if x.get("id")}
+        # keys name a text only where all are of one file
+        one = len({x["id"].split("\x1f")[0] for x in items}) == 1
+        by_key = {x["key"]: x["target"] for x in good if x.get("key")} if one else {}
+        found = [by_id.get(x["id"], by_key.get(x["key"])) for x in items]
+        return [t if isinstance(t, str) or t is None else parse_segments(t) for t in found]
+
 
 class UpperProvider(Provider):
     """Answers with the text in capitals: enough to test every step, and to be expressed in SQL."""
@@ -29,7 +70,15 @@ class UpperProvider(Provider):
         return [t.upper() for t in texts]
 
 
-PROVIDERS: dict[str, Callable[[], Provider]] = {"upper": UpperProvider}
+class UpperChat(ChatProvider):
+    """The same as a conversation in JSON."""
+
+    def complete(self, system: str, user: str) -> str:
+        items = json.loads(user)["items"]
+        return "```json\n" + json.dumps([{"id": x["id"], "key": x["key"], "target": x["source"].upper()} for x in items], ensure_ascii=False) + "\n```"
+
+
+PROVIDERS: dict[str, Callable[[], Provider]] = {"upper": UpperProvider, "upper-json": UpperChat}
 
 
 def make_provider(name: str) -> Provider:
@@ -54,12 +103,12 @@ def judge(message: str) -> tuple[bool, float, bool]:
     return False, 0.0, split
 
 
-def call(provider: Provider, texts: list[str], target_lang: str, source_lang: str, attempts: int = 4, depth: int = 6, wait: float = 5.0) -> list[str | None]:
-    """Answers, None where the provider gave none: ``attempts`` tries with growing waits, then halves, down to ``depth``; a text that fails by itself stays None."""
+def call(provider: Provider, texts: list[str] | list[dict], target_lang: str, source_lang: str, attempts: int = 4, depth: int = 6, wait: float = 5.0, glossary: str = "") -> list[str | None]:
+    """Answers to texts, or to items (id, key, source, hint), None where the provider gave none: ``attempts`` tries with growing waits, then halves, down to ``depth``; a text that fails by itself stays None."""
     split = True
     for n in range(attempts):
         try:
-            out = provider.translate(texts, target_lang, source_lang)
+            out = provider.translate_items(texts, target_lang, source_lang, glossary) if texts and isinstance(texts[0], dict) else provider.translate(texts, target_lang, source_lang)
             if len(out) != len(texts):
                 raise ValueError("not valid JSON: another number of answers")
             return list(out)
@@ -74,13 +123,14 @@ def call(provider: Provider, texts: list[str], target_lang: str, source_lang: st
     if len(texts) == 1 or depth == 0 or not split:
         return [None] * len(texts)
     half = len(texts) // 2
-    return [*call(provider, texts[:half], target_lang, source_lang, attempts, depth - 1, wait), *call(provider, texts[half:], target_lang, source_lang, attempts, depth - 1, wait)]
+    return [*call(provider, texts[:half], target_lang, source_lang, attempts, depth - 1, wait, glossary), *call(provider, texts[half:], target_lang, source_lang, attempts, depth - 1, wait, glossary)]
 
 
-def translate_batches(rows: DataFrame, provider: str, target_lang: str, source_lang: str = "auto", batch: list[str] | None = None, wait: float = 5.0) -> DataFrame:
+def translate_batches(rows: DataFrame, provider: str, target_lang: str, source_lang: str = "auto", batch: list[str] | None = None, wait: float = 5.0, glossary: str = "") -> DataFrame:
     """``rows`` (masked, and the columns of ``batch``) with ``answer``: batches are calls of their own, spread over the executors.
 
-    Rows of a batch are gathered as they stream by, so at most one batch is held. Write the result before it is used twice: a provider may cost money.
+    Columns ``file``, ``key`` and ``hint``, where there are such, go to the provider with the text, and so does ``glossary``, a text of bounded size. Rows of a batch are gathered as
+    they stream by, so at most one batch is held. Write the result before it is used twice: a provider may cost money.
     """
     batch = batch or ["file", "block", "batch_no"]
     names = rows.columns
@@ -92,7 +142,9 @@ def translate_batches(rows: DataFrame, provider: str, target_lang: str, source_l
 
         def flush() -> pa.RecordBatch:
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            answers = call(own, [t or "" for t in whole.column(names.index("masked")).to_pylist()], target_lang, source_lang, wait=wait)
+            get = lambda c: [x or "" for x in whole.column(names.index(c)).to_pylist()] if c in names else [""] * whole.num_rows
+            items = [{"id": f"{f}\x1f{k}" if k else str(i), "key": k or str(i), "source": t, "hint": h} for i, (f, k, t, h) in enumerate(zip(get("file"), get("key"), get("masked"), get("hint")))]
+            answers = call(own, items, target_lang, source_lang, wait=wait, glossary=glossary)
             return pa.RecordBatch.from_arrays([*whole.columns, pa.array(answers, pa.string())], names=[*names, "answer"])
 
         for part in parts:

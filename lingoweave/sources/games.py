@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, is_ui_text, text
@@ -38,6 +40,27 @@ def read_json_files(spark: SparkSession, path: str) -> DataFrame:
     return skip_copies(df.select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("body")))
 
 
+def read_scripts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, body) of the plugin lists below a folder."""
+    df = spark.read.format("binaryFile").option("pathGlobFilter", "plugins.js").option("recursiveFileLookup", "true").load(path)
+    return skip_copies(df.select(F.col("path").alias("file"), F.regexp_replace(F.decode("content", "UTF-8"), "^\\x{feff}", "").alias("body")))
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Write each (output, body) as a file below a folder that all executors see (a path, not an object store): a new file takes the place of the old one only when it is complete."""
+    root = folder.removeprefix("file://")
+
+    def run(rows: Iterator[Row]) -> None:
+        for r in rows:
+            path = Path(root, r.output)
+            path.parent.mkdir(parents=True, exist_ok=True)
+            new = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
+            new.write_text(r.body, encoding="utf-8", newline="")
+            new.replace(path)
+
+    files.foreachPartition(run)
+
+
 def plugin_list(body: F.Column) -> F.Column:
     """The array inside ``var $plugins = [...];`` as JSON text, '' where there is none."""
     return F.regexp_extract(text(body), r"(?s)^(?:\s|//[^\n]*\n|/\*.*?\*/)*var\s+\$?\w+\s*=\s*(\[.*\])\s*;?\s*$", 1)

@@ -103,3 +103,41 @@ def catalogue_data():
     import os
 
     return os.environ.get("LINGOWEAVE_DATA", "/root/testdata/sf0.001")
+
+
+def test_one_run_with_names_glossary_and_extra(spark):
+    """A provider that speaks JSON sees hints, names and the glossary; earlier results keep their further columns."""
+    import json as j
+
+    asked = spark.sparkContext.accumulator(0)
+
+    class Chat(provider.ChatProvider):
+        def complete(self, system, user):
+            items = j.loads(user)["items"]
+            asked.add(len(items))
+            known = {"フォル": "Fol"}
+            return j.dumps([{"id": x["id"], "target": known.get(x["source"], f"{x['hint']}|{'Lampe' in system}|{x['source'].upper()}")} for x in items])
+
+    PROVIDERS["chat"] = Chat
+    e = spark.createDataFrame([("f", "1", "lamp", "rpg_maker_items_name", None, None, 1), ("f", "2", "<フォル>hi", "rpg_maker_event_text", None, None, 2), ("f", "3", "done", "c", None, None, 3)], E)
+    old = spark.createDataFrame([("f", "3", "done", "fertig", {"by": "Anna"}, "rpg_maker_items_name", 1)], "file string, key string, source string, target string, extra map<string,string>, context string, ord bigint")
+    terms = spark.createDataFrame([("lamp", "Lampe", "", "", 1)], "term string, translation string, note string, category string, line_no bigint")
+    out = {r.key: (r.target, r.extra) for r in pipeline.run(e, pipeline.Options("de", provider="chat", wait=0, auto_glossary=True), old, None, None, terms).collect()}
+    del PROVIDERS["chat"]
+    assert out["1"] == ("item name|True|LAMP", {}) and out["3"] == ("fertig", {"by": "Anna"}) and out["2"][0].startswith("<Fol>") and asked.value == 3
+
+
+def test_json_and_plain_provider_agree(spark):
+    e = spark.createDataFrame([("f", str(i), t, "c", None, None, i) for i, t in enumerate(["a \"b\"", r"\C[1]x", "line\nline", "", "ß"])], E)
+    a, b = (sorted(map(tuple, pipeline.run(e, pipeline.Options("de", provider=p, wait=0)).select("key", "target").collect())) for p in ("upper", "upper-json"))
+    assert a == b
+
+
+def test_one_text_at_a_time():
+    class Slow(provider.TextProvider):
+        pause = 0
+
+        def translate_text(self, text, target_lang, source_lang):
+            return text[::-1]
+
+    assert call(Slow(), ["ab", "cd"], "de", "en") == ["ba", "dc"]
