@@ -24,14 +24,17 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 
 
 def count_tokens(documents: DataFrame, tokenizer: str = TOKENIZER, text: str = "text") -> DataFrame:
-    """``documents`` without ``text``, with ``tokens``: the number of tokens of the whole text, 0 for null."""
+    """``documents`` without ``text``, with ``tokens``: the number of tokens of the whole text, 0 for null. The vocabulary file, which only the driver needs to have, is sent to the executors."""
     names = [c for c in documents.columns if c not in (text, "tokens")]
     rows = documents.select(*names, text)
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    file = tokenizer.rsplit("/", 1)[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(tokenizer, "rb") as f:
+        with open(SparkFiles.get(file), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoding = tiktoken.Encoding("mixing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
@@ -119,14 +122,11 @@ class Mixture:
             F.max("bucket").alias("edge"), F.max(F.struct("bucket", (F.col("upto") - F.col("t")).alias("b"))).getField("b").alias("before"))
         ranked = ranked.join(F.broadcast(edges), "source", "left")
         inside = ranked.where("bucket = edge").withColumn("upto", F.sum("tokens").over(Window.partitionBy("source").orderBy("rank", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before"))
-        # a document that crosses the end is taken if more than half of it lies before
-        last = inside.where(F.col("upto") - F.col("tokens") / 2 <= F.col("rest"))
-        sure = ranked.where("bucket < edge")
-        keep = ["doc_id", "source", "tokens", "whole"]
-        extra = sure.select(*keep, F.lit(1).alias("more")).unionByName(last.select(*keep, F.lit(1).alias("more")))
-        others = ranked.where("whole > 0 and (edge is null or bucket > edge)").select(*keep, F.lit(0).alias("more"))
-        left_over = inside.where("whole > 0").where(F.col("upto") - F.col("tokens") / 2 > F.col("rest")).select(*keep, F.lit(0).alias("more"))
-        self.chosen = extra.unionByName(others).unionByName(left_over).select("doc_id", "source", "tokens", (F.col("whole") + F.col("more")).cast("bigint").alias("copies"))
+        # before the edge every document is taken once more, behind it none; at the edge one that crosses the end is taken if more than half of it lies before
+        far = ranked.where("edge is null or bucket <> edge").withColumn("more", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)))
+        near = inside.withColumn("more", F.col("upto") - F.col("tokens") / 2 <= F.col("rest"))
+        both = far.select("doc_id", "source", "tokens", "whole", "more").unionByName(near.select("doc_id", "source", "tokens", "whole", "more"))
+        self.chosen = both.select("doc_id", "source", "tokens", (F.col("whole") + F.col("more").cast("int")).cast("bigint").alias("copies")).where("copies > 0")
 
     @property
     def shares(self) -> DataFrame:
