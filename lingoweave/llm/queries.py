@@ -104,6 +104,13 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).chosen
 
 
+def p9_caps(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of every source that is used: no document oftener than the source may be repeated, and none in two rows."""
+    targets = table(spark, d, "mix_targets")
+    each = Mixture(table(spark, d, "documents"), targets).chosen.join(F.broadcast(targets.select("source", "max_repeats")), "source")
+    return each.groupBy("source").agg(F.count_if(F.col("copies") > F.col("max_repeats")).alias("over_cap"), (F.count(F.lit(1)) - F.count_distinct("doc_id")).alias("doubled"))
+
+
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares
 
@@ -122,7 +129,7 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_near_copies, p3_found, p3_segments, p4_found, p4_records, p5_requests, p5_assigned, p5_fill, p7_found, p7_restored, p8_found, p8_items, p8_near, p9_mixture, p9_shares, p10_found, p10_sources)}
+    return {f.__name__: f for f in (p2_found, p2_near_copies, p3_found, p3_segments, p4_found, p4_records, p5_requests, p5_assigned, p5_fill, p7_found, p7_restored, p8_found, p8_items, p8_near, p9_mixture, p9_caps, p9_shares, p10_found, p10_sources)}
 
 
 _CANONICAL = r"""
@@ -150,6 +157,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p5_assigned": """with l as (select provider, min(max_chars) as m from batch_limits where max_chars >= 1 group by 1), e as (select ord, length(coalesce(source, '')) + length(coalesce(context_text, '')) as chars from entries)
 select provider, ord, chars, greatest(1, cast(ceil(chars / m) as bigint)) as parts, cast(0 as bigint) as over_full from e, l""",
+        "p9_caps": "select source, cast(0 as bigint) as over_cap, cast(0 as bigint) as doubled from mix_targets where weight > 0 and max_repeats > 0 and source in (select source from documents where text <> '')",
+        "p8_items": _LEAKS + """, r as (select h.doc_id, h.item_id, max(x.k) as longest from h join i using (item_id) join d using (doc_id), lateral (select unnest(range(i.need, i.n + 1)) as k) x
+where list_bool_or(list_transform(range(1, i.n - x.k + 2), lambda p: contains(d.t, substr(i.t, p, x.k)))) group by all) select item_id, count(distinct doc_id) as documents, max(longest) as longest from r group by 1""",
         "p8_found": _LEAKS + "select doc_id, item_id from h",
         "p4_found": _CANONICAL + "select first_ord, ord as copy_ord from g where ord <> first_ord",
         "p4_records": _CANONICAL + "select first_ord, copies from g where ord = first_ord",

@@ -61,3 +61,12 @@ def test_single_byte_text_read_with_another_single_byte_encoding(spark, model):
     df = spark.createDataFrame([(i, garble(t, c)) for i, t, c in bad] + [(100 + i, t) for i, t in enumerate(clean)], "ord bigint, text string")
     got = {r.ord: r.restored for r in garbled_texts(df, model).collect()}
     assert got == {i: t for i, t, _ in bad}
+
+
+def test_many_texts_are_garbled_at_once():
+    from lingoweave.llm.encoding import CHAINS, garble, garble_all
+
+    texts = ["Où est la forêt ?", "estará «aquí»…", "女王は古い森で待っている。", "여왕은 숲에서", "plain", "Wölfin ist stärker\nals Bären", "Nữ hoàng", "x" * 50 + "é"]
+    for chain in CHAINS:
+        assert garble_all(texts, chain) == [g for t in texts if (g := garble(t, chain))], chain
+    assert garble_all([], "utf8>cp1252") == []
