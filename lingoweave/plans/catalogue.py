@@ -762,7 +762,29 @@ def tree_plain(spark: SparkSession, d: str) -> DataFrame:
     return json_tree.plain_entries(json_tree.text_nodes(latest_readable(table(spark, d, "game_files")), ["file"]), ["file"]).select("file", "key", "source")
 
 
-@query()
+P0 = strip_sql("p.text")
+#: commands of event lists, what their speakers, lines and choices say, and the first parts of each list
+CONTEXTS = f"""{TREE}, co as (select coalesce(file, chr(0)) as f, plain, type, text from w),
+el as (select f, regexp_extract(plain, '^(.*\\.list)\\[\\d+\\]$', 1) as list_path, cast(regexp_extract(plain, '\\[(\\d+)\\]$', 1) as int) as pos, plain as at from co
+where regexp_matches(plain, '\\.list\\[\\d+\\]$') and not regexp_matches(regexp_extract(plain, '^(.*\\.list)\\[\\d+\\]$', 1), '\\.list\\[')),
+cm as (select el.*, cast(c.text as bigint) as code from el join co c on c.f = el.f and c.plain = concat(el.at, '.code') and c.type in ('UBIGINT', 'BIGINT')),
+sa as (select cm.*, s.text as said from cm left join co s on s.f = cm.f and cm.code = 101 and s.plain = concat(cm.at, '.parameters[4]') and s.type = 'VARCHAR' and s.text <> ''),
+sp as (select *, last_value(said ignore nulls) over (partition by f, list_path order by pos rows between unbounded preceding and current row) as speaker from sa),
+ch as (select f, regexp_extract(plain, '^(.*)\\.parameters\\[0\\]\\[\\d+\\]$', 1) as at, cast(regexp_extract(plain, '\\[(\\d+)\\]$', 1) as int) as i, text from co where type = 'VARCHAR' and regexp_matches(plain, '\\.parameters\\[0\\]\\[\\d+\\]$')),
+pa as (select f, list_path, pos, 0 as i, concat('[', said, ']') as part from sp where said is not null
+union all select sp.f, list_path, pos, ch.i, ch.text from sp join ch on ch.f = sp.f and ch.at = sp.at where code = 102 and {strip_sql('ch.text')} <> ''
+union all select sp.f, list_path, pos, 0, case when speaker is null then p.text else concat('[', speaker, '] ', p.text) end from sp join co p on p.f = sp.f and p.plain = concat(sp.at, '.parameters[0]') and p.type = 'VARCHAR'
+where code in (401, 405) and {P0} <> '' and not regexp_matches({P0}, '{X.ONLY_CODES}')),
+pf as (select f, list_path, part, min(pos) as pos, arg_min(i, pos * 100000 + i) as i from pa group by all),
+pe as (select *, count(*) over (partition by f, list_path order by pos range between unbounded preceding and 1 preceding) as earlier from pf),
+bo as (select f, list_path, string_agg(part, chr(10) order by pos, i) as body from pe where earlier < 16 group by all),
+li as (select distinct f, list_path, regexp_replace(list_path, '\\.list$', '') as owner from el)"""
+
+
+@query(f"""with recursive {CONTEXTS} select nullif(li.f, chr(0)) as file, li.list_path, coalesce(concat_ws(chr(10), case when a.text is not null then concat('Actor ', a.text) end, case when n.text <> '' then concat('[Event: ', n.text, ']') end,
+case when o.text <> '' then concat('Note: ', o.text) end, nullif(bo.body, '')), '') as context_text from li left join bo on bo.f = li.f and bo.list_path = li.list_path
+left join co a on a.f = li.f and a.plain = concat(li.owner, '.conditions.actorId') and a.type in ('UBIGINT', 'BIGINT') and cast(a.text as bigint) > 0
+left join co n on n.f = li.f and n.plain = concat(li.owner, '.name') and n.type = 'VARCHAR' left join co o on o.f = li.f and o.plain = concat(li.owner, '.note') and o.type = 'VARCHAR'""")
 def tree_contexts(spark: SparkSession, d: str) -> DataFrame:
     return json_tree.list_contexts(json_tree.commands(latest_readable(table(spark, d, "game_files")), ["file"]), ["file"])
 
