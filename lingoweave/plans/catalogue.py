@@ -512,11 +512,13 @@ from new b left join old a on a.snapshot_no = b.snapshot_no and a.file = b.file
 union all select a.snapshot_no, a.file, a.key, a.source, a.target, 'removed' from old a where not exists (select 1 from new b where b.snapshot_no = a.snapshot_no and b.file = a.file and b.key = a.key))"""
 
 
+@query(f"with {DELIVERIES} select * from d", "diff_deliveries")
 @query(f"with {DELIVERIES} select * from d")
 def diff_rows(spark: SparkSession, d: str) -> DataFrame:
     return _deliveries(spark, d)
 
 
+@query(f"with {DELIVERIES} select snapshot_no, string_split(status, ' ')[1] as status, count(*) as rows from d group by all", "diff_delivery_counts")
 @query(f"with {DELIVERIES} select snapshot_no, string_split(status, ' ')[1] as status, count(*) as rows from d group by all")
 def diff_counts(spark: SparkSession, d: str) -> DataFrame:
     return _deliveries(spark, d).groupBy("snapshot_no", F.substring_index("status", " ", 1).alias("status")).agg(F.count(F.lit(1)).alias("rows"))
