@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lingoweave.llm.copies import Copies, canonical_digest, entry_copies, filter_bits
+from lingoweave.llm.filters import SentFilter
 from lingoweave.llm.packing import fill_requests, fill_summary, hilbert, pack
 
 E = "ord bigint, source string, context string, digest string"
@@ -106,3 +107,13 @@ def test_packer_as_a_stream():
         out += p.add(sizes[i:i + 37])
         most = max(most, p.items - p.waiting_from)
     assert [*out, *p.finish()] == whole and p.boxes == boxes and most < 2000
+
+
+def test_filter_in_pieces_holds_what_one_bitmap_holds(spark):
+    keys = spark.range(20_000).select(F.xxhash64("id").alias("h"))
+    whole, parts = SentFilter(keys, 40_000), SentFilter(keys, 40_000, piece=1 << 18)
+    assert len(whole.sent) == 1 and len(parts.sent) == 4 and all(len(x.value) * 8 == 1 << 18 for x in parts.sent)  # no more than a piece comes to the driver
+    own = np.array([r.h for r in keys.collect()])
+    other = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 50_000)
+    assert parts.holds(own).all() and (parts.holds(other) == whole.holds(other)).all() and parts.holds(other).mean() < 0.01
+    parts.destroy()
