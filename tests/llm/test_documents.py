@@ -1,12 +1,14 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lingoweave.llm.cuts import CutModel, cut_documents, cuts_by_source, ends_early
+from lingoweave.llm.cuts import CutModel, TableCutModel, cut_documents, cuts_by_source, ends_early, train_cut_model, units
+from lingoweave.llm.endings import EndModel, Logistic, end_counts, end_keys, end_scores, ends_full
 from lingoweave.llm.words import Words, levels, shared
 from lingoweave.llm.leaks import ItemIndex, leaked_items
 from lingoweave.llm.mixing import TOKENIZER, Mixture, allocate, count_tokens, inclusion_scale
@@ -161,6 +163,39 @@ def test_cut_documents(spark, stories):
     assert cut_documents(d.limit(0), m).count() == 0
 
 
+def test_endings_are_counted_over_every_text(spark):
+    """More texts than any sample had: the counts of the table are those of all its texts, and repeated texts count once."""
+    texts = [f"The gate {i} is open. Go to tower number {i} now." for i in range(4500)] + [f"Gate {i}.\nno dot" for i in range(3)] + [f"Gate {i}.\nonly once" for i in range(2)]
+    table = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    keys, valid = end_keys(["The gate 7 is open.", "Go to tower number 8 now.", "no dot", "only once", "is op"])
+    uses = spark.createDataFrame([(int(k), 1) for k in np.unique(keys[valid])], "key bigint, uses bigint")
+    got = {r.key: (r.a, r.b) for r in TableCutModel._counts(table, uses, 3).collect()}
+    whole = [u for t in texts for u in units(t) if ends_full(u) or u == "no dot"]
+    want = {k: (a, b) for k, a, b in zip(*(x.tolist() for x in end_counts(whole)))}
+    asked = set(keys[valid].tolist())
+    assert {k: v for k, v in got.items() if k in asked} == {k: v for k, v in want.items() if k in asked}
+    assert got[int(keys[0, 0])] == (4500, 0)  # 'open' ends a unit in each of them
+    a, b = (np.array([[got.get(int(k), (0, 0))[i] if v else 0 for k, v in zip(*x)] for x in zip(keys, valid)], float) for i in (0, 1))
+    assert np.allclose(end_scores(a, b, valid), EndModel(whole).scores(["The gate 7 is open.", "Go to tower number 8 now.", "no dot", "only once", "is op"]))
+
+
+def test_logistic_of_a_table_is_that_of_its_rows(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3)).round(1)
+    y = (x[:, 0] + rng.normal(size=400) > 0).astype(int)
+    table = spark.createDataFrame([(r.tolist(), int(1 - v), int(v)) for r, v in zip(x, y)], "x array<double>, n0 bigint, n1 bigint").repartition(3)
+    assert np.allclose(Logistic.of_table(table).probability(x), Logistic(x, y.astype(float)).probability(x), atol=1e-6)
+    assert Logistic.of_table(table.where("n1 = 0")) is None and Logistic.of_table(table.limit(0)) is None
+
+
+def test_model_of_a_table_finds_cuts(spark, stories):
+    cut = {1000 + i: t[:t.rindex(" ", 0, len(t) - 12)][:-1] for i, t in enumerate(stories[200:])}
+    d = spark.createDataFrame([(i, t, "a") for i, t in enumerate(stories[:200])] + [(i, t, "a") for i, t in cut.items()] + [(5000 + i, t, "a") for i, t in cut.items()] + [(9000, None, "a"), (9001, "", "a")], "doc_id bigint, text string, source string")
+    got = {r.doc_id for r in cut_documents(d, train_cut_model(d)).collect()}
+    assert not [i for i in got if i < 1000] and len(got) >= 1.8 * len(cut) and {i for i in got if i < 5000} == {i - 5000 for i in got if i >= 5000}
+    assert cut_documents(d.limit(0), train_cut_model(d.limit(0))).count() == 0
+
+
 def test_copies_cut_anywhere_are_found_by_alignment(spark):
     """120 copies, each cut inside a word at 95 to 10 per cent, some with a word changed; the model of endings is empty, so that only alignment can find them."""
     rng = random.Random(21)
